@@ -57,7 +57,7 @@ def _connect():
 
 def _batches(db, table: str) -> Iterator[pa.RecordBatch]:
     """The rows of a query on ``table`` in bounded Arrow batches."""
-    reader = db.execute(_OUT + table).to_arrow_reader(20_000)
+    reader = db.sql(_OUT + table).to_arrow_reader(20_000)
     for batch in reader:
         yield from pa.Table.from_batches([batch]).select(_COLUMNS).cast(_ARROW).to_batches()
 
