@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalens.llm import line_ledger, term_counts, term_weight
+from catalens.llm import line_ledger, lookalike, term_counts, term_weight
 from catalens.session import run_dir
 from catalens.sources.tables import table
 
@@ -25,6 +25,14 @@ def p3_counts(spark: SparkSession, d: str) -> DataFrame:
     return term_counts.term_counts(table(spark, d, "fs_postings"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.same_looking(table(spark, d, "fs_entries"))
+
+
+def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.canonical(table(spark, d, "fs_entries")).select("entry_id", "c_volume", "c_path")
+
+
 def _ledger(spark: SparkSession, d: str) -> tuple[line_ledger.LineLedger, DataFrame]:
     lines = table(spark, d, "entry_lines")
     ledger = line_ledger.LineLedger(spark, run_dir(spark, "p5"))
@@ -55,7 +63,7 @@ _WORDS = r"lower(trim(regexp_replace({}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')))"
 _KEYS = "WITH k AS (SELECT line_id, concat(" + ", chr(1), ".join(_WORDS.format(_FIELD.format(n, "|".join(m for m in line_ledger.FIELDS if m != n))) for n in line_ledger.FIELDS) + ") AS key FROM entry_lines WHERE line IS NOT NULL),\n"
 _KEYS += "g AS (SELECT key, count(*) AS lines, min(line_id) AS keep_id FROM k GROUP BY ALL)\n"
 
-QUERIES = {"p2_found": p2_found, "p2_weights": p2_weights, "p3_found": p3_found, "p3_counts": p3_counts, "p5_found": p5_found, "p5_records": p5_records}
+QUERIES = {"p2_found": p2_found, "p2_weights": p2_weights, "p3_found": p3_found, "p3_counts": p3_counts, "p4_found": p4_found, "p4_canonical": p4_canonical, "p5_found": p5_found, "p5_records": p5_records}
 SQL = {
     "p2_found": _TF + "SELECT entry_id, term FROM tf JOIN t USING (term) WHERE tf >= 3 AND df BETWEEN 2 AND 20",
     "p2_weights": _TF + "SELECT entry_id, term, tf, df, gf, log2(1 + tf) * (1 - h / ln(n)) AS weight FROM tf JOIN t USING (term), n",
