@@ -44,7 +44,9 @@ SHAPES = {
 }
 _TO_LATIN = {pair[0]: pair[1] for text in SHAPES.values() for pair in text.split()}
 _FROM_LATIN = {s: {pair[1]: pair[0] for pair in reversed(text.split())} for s, text in SHAPES.items() if s != "LATIN"}
-_TOKEN = re.compile(r"([^\W_](?:[^\W_]|[̀-゙゚ͯ])*)")
+_TOKEN = re.compile(r"([^\W_](?:[^\W_]|[\u0300-\u036f\u3099\u309a])*)")
+# Characters without appearance that are no format characters.
+_FILLERS = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180f\u3164\uffa0"
 _BLANKS = {c: " " for c in (*range(9, 14), 0x85, 0x2028, 0x2029, 0x1680)}
 _ASCII = "^[\\x00-\\x7f]*$"
 
@@ -52,7 +54,7 @@ _ASCII = "^[\\x00-\\x7f]*$"
 @lru_cache(100_000)
 def _unseen(c: str) -> bool:
     """True for characters without appearance: format characters, variation selectors, fillers."""
-    return unicodedata.category(c) == "Cf" or c in "͏ᅟᅠ឴឵᠋᠌᠍᠏ㅤﾠ" or "︀" <= c <= "️" or "\U000e0100" <= c <= "\U000e01ef"
+    return unicodedata.category(c) == "Cf" or c in _FILLERS or "\ufe00" <= c <= "\ufe0f" or "\U000e0100" <= c <= "\U000e01ef"
 
 
 def fold(text: str) -> str:

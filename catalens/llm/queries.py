@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalens.llm import leaks, line_ledger, lookalike, mixing, term_counts, term_weight
+from catalens.llm import leaks, line_ledger, lookalike, mixing, pii, term_counts, term_weight
 from catalens.session import run_dir
 from catalens.sources.tables import table
 
@@ -66,6 +66,14 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.found(table(spark, d, "documents"))
+
+
+def p9_masked(spark: SparkSession, d: str) -> DataFrame:
+    return pii.masked(table(spark, d, "documents"))
+
+
 _TF = """
 WITH occ AS (SELECT DISTINCT term, entry_id, coalesce(pos, -1) AS pos FROM fs_postings WHERE term <> '' AND entry_id IS NOT NULL),
 tf AS (SELECT term, entry_id, count(*) AS tf FROM occ GROUP BY ALL),
@@ -80,7 +88,7 @@ _WORDS = r"lower(trim(regexp_replace({}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')))"
 _KEYS = "WITH k AS (SELECT line_id, concat(" + ", chr(1), ".join(_WORDS.format(_FIELD.format(n, "|".join(m for m in line_ledger.FIELDS if m != n))) for n in line_ledger.FIELDS) + ") AS key FROM entry_lines WHERE line IS NOT NULL),\n"
 _KEYS += "g AS (SELECT key, count(*) AS lines, min(line_id) AS keep_id FROM k GROUP BY ALL)\n"
 
-QUERIES = {"p2_found": p2_found, "p2_weights": p2_weights, "p3_found": p3_found, "p3_counts": p3_counts, "p4_found": p4_found, "p4_canonical": p4_canonical, "p5_found": p5_found, "p5_records": p5_records, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
+QUERIES = {"p2_found": p2_found, "p2_weights": p2_weights, "p3_found": p3_found, "p3_counts": p3_counts, "p4_found": p4_found, "p4_canonical": p4_canonical, "p5_found": p5_found, "p5_records": p5_records, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_masked": p9_masked}
 SQL = {
     "p2_found": _TF + "SELECT entry_id, term FROM tf JOIN t USING (term) WHERE tf >= 3 AND df BETWEEN 2 AND 20",
     "p2_weights": _TF + "SELECT entry_id, term, tf, df, gf, log2(1 + tf) * (1 - h / ln(n)) AS weight FROM tf JOIN t USING (term), n",
