@@ -6,12 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from catalens.operators.changefeed import ChangeFeed
 from catalens.operators.incremental import IncrementalTarget, taken_in
+from catalens.plans.sql import LIVE
 from catalens.session import run_dir
 from catalens.sources.tables import table
 
-ASCII = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-
-
 def _applied(spark: SparkSession, d: str) -> ChangeFeed:
     feed = ChangeFeed(spark, run_dir(spark, "p1"))
     feed.apply(table(spark, d, "fs_oplog"), table(spark, d, "fs_tombstones"))
@@ -34,16 +32,6 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return target.run(ops, "seq", "seq").selectExpr("source_key AS seq")
 
 
-_KILL = f"""
-WITH RECURSIVE t AS (SELECT volume, {ASCII.format('prefix')} AS prefix, max(seq) AS seq FROM fs_tombstones GROUP BY ALL),
-lens AS (SELECT DISTINCT length(prefix) AS n FROM t),
-pairs AS (SELECT path, volume, max(seq) AS seq FROM fs_oplog GROUP BY ALL),
-cuts AS (SELECT path, volume, substr({ASCII.format('path')}, 1, n) AS pre FROM pairs, lens
-         WHERE length(path) = n OR substr(path, n + 1, 1) = '/'),
-kills AS (SELECT c.path, c.volume, max(t.seq) AS k FROM cuts c JOIN t ON t.prefix = c.pre AND (t.volume IS NULL OR t.volume = c.volume) GROUP BY ALL),
-alive AS (SELECT o.* FROM fs_oplog o LEFT JOIN kills USING (path, volume) WHERE k IS NULL OR o.seq >= k),
-top AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS rn FROM alive)
-"""
 _TAKEN = """
 WITH latest AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY logged_at DESC, run_state DESC) AS rn FROM index_runs),
 good AS (SELECT DISTINCT basis, lo, hi, started_at FROM latest WHERE rn = 1 AND run_state = 'committed'),
@@ -53,7 +41,7 @@ taken AS (SELECT DISTINCT o.seq FROM fs_oplog o JOIN good g ON g.started_at >= o
 
 QUERIES = {"p1_found": p1_found, "p1_current": p1_current, "p6_found": p6_found}
 SQL = {
-    "p1_found": _KILL + "SELECT path, seq FROM top WHERE rn = 1 AND NOT is_delete",
-    "p1_current": _KILL + "SELECT path, volume, kind, last_modified, last_accessed, category, volume_type, seq FROM top WHERE rn = 1 AND NOT is_delete",
+    "p1_found": LIVE + "SELECT path, seq FROM live",
+    "p1_current": LIVE + "SELECT path, volume, kind, last_modified, last_accessed, category, volume_type, seq FROM live",
     "p6_found": _TAKEN + "SELECT DISTINCT seq FROM fs_oplog WHERE seq NOT IN (SELECT seq FROM taken)",
 }
