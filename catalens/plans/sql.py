@@ -121,7 +121,8 @@ def search(text: str, limit: int, offset: int, now: int, where: str = "TRUE", sc
 hit AS ({' INTERSECT '.join(tests)}),
 cand AS (SELECT * FROM live WHERE path IN (SELECT path FROM hit) AND {where} ORDER BY {PRERANK} LIMIT {cap}),
 folded AS (SELECT *, lower(strip_accents(path)) AS s, rtrim(lower(strip_accents(path)), '/') AS p FROM cand),
-ready AS (SELECT *, length(p) - length(string_split(p, '/')[-1]) AS fs FROM folded)
-SELECT path, volume, volume_type, kind, last_modified, last_accessed, category, round({score or _score(text, now)}, 6) AS score
-FROM ready ORDER BY score DESC, last_modified DESC, kind, path LIMIT {limit} OFFSET {offset}"""
+ready AS (SELECT *, length(p) - length(string_split(p, '/')[-1]) AS fs FROM folded),
+scored AS (SELECT *, {score or _score(text, now)} AS exact FROM ready)
+SELECT path, volume, volume_type, kind, last_modified, last_accessed, category, round(exact, 6) AS score
+FROM scored ORDER BY exact DESC, last_modified DESC, kind, path LIMIT {limit} OFFSET {offset}"""
     )
