@@ -41,7 +41,9 @@ def search(entries: DataFrame, postings: DataFrame, text: str, limit: int, offse
     query = parse(text)
     if not query.tokens:
         return entries.sparkSession.createDataFrame([], RESULT_SCHEMA)
+    # A Python score would be moved below the limit of the pre-ranking and make it a full sort; this keeps it above.
     rows = candidates(entries, postings, text, limit, offset, options)
+    rows = rows.mapInArrow(lambda batches: batches, rows.schema)
     make = options.scoring.function or score_column
     scored = rows.withColumn("score", make(options.scoring.weights, list(query.tokens), list(query.raw), now_micros))
     return ranked(scored.select(*RESULT_COLUMNS), limit, offset)
