@@ -50,13 +50,24 @@ _SETS = {
     "T": set(TITLES.split()), "C": set(FIRMS.split()), "L": set(LEGAL.split()), "P": set(PARTICLES.split()),
     "S": set(STREET_AFTER.split()), "R": set(STREET_BEFORE.split()), "M": set(MONTHS.split()),
 }
-_UP, _LO = "A-ZÀ-ÖØ-ÞŁŠŽ", r"\w"
+_UP, _LO = "A-ZÀ-ÖØ-ÞĆČĎĐĘĚĞİŁŃŇŐŒŘŚŞŠŤŮŰŸŹŻŽ", r"\w"
 _NUMBER = r"\+?(?:\(0+\)|0+)(?:[./-]?(?:\(0+\)|0+))*(?:[A-Za-z](?![\w]))?"
 _MAIL = r"[A-Za-z0-9](?:[\w.+'-]*\w)? ?(?:@|\(at\)|\[at\]|\{at\}|(?<= )AT(?= )) ?\w[\w-]*(?:(?:\.| ?\(dot\) ?|\[dot\]| DOT )\w[\w-]*)+"
 _WORD = rf"[{_UP}](?:\.(?:-?[{_UP}]\.)*|[{_LO}]*(?:['’-][{_LO}]+)*)"
 _SMALL = r"(?:van|von|de|der|den|di|du|da|des|la|le|les|l['’]|d['’]|del|ten|ter|zu|rue|avenue|quai|chemin|impasse|place|boulevard|allée|cours|route|passage|ruelle|bis|quater)(?![\w])"
-_ANY = rf"(?:{_MAIL}|{_NUMBER}|{_WORD}|{_SMALL}|&)"
-_CHUNK = re.compile(rf"(?<![\w*]){_ANY}(?:(?:, ?|[ \u00a0\u202f](?:\((?!0+\)))?|(?<=['’])){_ANY})*")
+_SEPARATOR = r"(?:, ?|[ \u00a0\u202f](?:\((?!0+\)))?|(?<=['’]))"
+_MORE = rf"(?:{_SEPARATOR}(?:{_NUMBER}|{_WORD}|{_SMALL}|&))"
+_GROUPS = r"(?:[./-]?(?:\(0+\)|0+))*(?:[A-Za-z](?!\w))?"
+# The first character is a class of its own, so that the search skips all others; then two words at least, or a
+# number.
+_CHUNK = re.compile(
+    rf"[{_UP}0+(vd](?<![\w*].)(?:"
+    rf"(?<=[{_UP}])[A-Z]{{0,2}}0\w*+{_MORE}*|(?<=[{_UP}])(?:\.(?:-?[{_UP}]\.)*+|\w*+(?:['’-]\w++)*+){_MORE}+"
+    rf"|(?<=0)0*+{_GROUPS}{_MORE}*|(?<=\+)(?:\(0+\)|0+){_GROUPS}{_MORE}*|(?<=\()0+\){_GROUPS}{_MORE}*"
+    rf"|(?<=[vd])(?:an|on|er|en|e|i|u)(?!\w){_MORE}+)"
+)
+_MAIL_SIGN = re.compile(r"@|\(at\)|\[at\]|\{at\}| AT ")
+_MAIL_ONLY = re.compile(rf"(?<![\w*]){_MAIL}")
 _TOKEN = re.compile(rf"({_MAIL})|({_NUMBER})|({_WORD})|({_SMALL})|(&)")
 _CONTEXT = {"id": re.compile(ID_WORDS), "other": re.compile(OTHER_WORDS), "phone": re.compile(PHONE_WORDS)}
 _LAST_WORD = re.compile(r"([^\W\d_]+)[^\w]*$")
@@ -337,6 +348,24 @@ def flattened(text: str) -> str:
     return text
 
 
+def chunks(flat: str) -> list[tuple[int, int]]:
+    """Begin and end of all chunks of a flattened text: addresses of e-mail, found around their sign, and the runs outside
+    them."""
+    out = []
+    signs = _MAIL_SIGN.finditer(flat) if any(x in flat for x in ("@", "(at)", "[at]", "{at}", " AT ")) else ()
+    for m in signs:
+        a = max(0, m.start() - 100)
+        for x in _MAIL_ONLY.finditer(flat, a, m.end() + 300):
+            if x.start() <= m.start() < x.end():
+                if not out or x.start() >= out[-1][1]:
+                    out.append(x.span())
+                break
+    for a, z in out:
+        flat = flat[:a] + "\0" * (z - a) + flat[z:]
+    out += [m.span() for m in _CHUNK.finditer(flat)]
+    return out
+
+
 class _Memory(dict):
     """Results by key, emptied when there are many."""
 
@@ -361,23 +390,19 @@ class Decoder:
 
     def __call__(self, text: str) -> list[tuple[int, int, int]]:
         """``(begin, end, kind)`` of all entities, in order."""
-        flat, out, known, lefts, chunks = flattened(text), [], self.known, self.lefts, self.chunks
-        for m in _CHUNK.finditer(flat):
-            chunk = m[0]
-            if " " not in chunk and "0" not in chunk and "@" not in chunk and "at" not in chunk:
-                continue  # no entity is a single word without digits
-            after = None
+        flat, out, known, lefts, parses = flattened(text), [], self.known, self.lefts, self.chunks
+        for a, z in chunks(flat):
+            chunk, after = flat[a:z], None
             if "M." in chunk:
-                after = follow_of(flat[m.end() : m.end() + 24])
+                after = follow_of(flat[z : z + 24])
                 parsed = self._parsed(chunk, after)
             else:
-                parsed = chunks.get(chunk, 0)
+                parsed = parses.get(chunk, 0)
                 if parsed == 0:
-                    parsed = chunks.keep(chunk, self._parsed(chunk, ""))
+                    parsed = parses.keep(chunk, self._parsed(chunk, ""))
             if parsed is None:
                 continue
             own, like, form = parsed
-            a, z = m.span()
             before = left_of(flat, a)
             left = lefts.get(before)
             if left is None:
@@ -389,7 +414,7 @@ class Decoder:
             for seg in got:
                 x, y = span(own, seg, chunk)
                 out.append((a + x, a + y, seg[2]))
-        return out
+        return sorted(out)
 
 
 _PAIR = rf"([{_UP}][\p{{L}}'’-]*) (?:[A-Z]\. )?(?:(?:van|von|de|du|di|der) )?[{_UP}][\p{{L}}'’-]+"

@@ -277,9 +277,8 @@ def labelled(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, int]]]]:
 def _chunks(text: str, spans: list[tuple[int, int, int]], words: pii.Words) -> list[tuple]:
     """The chunks of a labelled text with the features of their segments and which segments are right."""
     flat, out = pii.flattened(text), []
-    for m in pii._CHUNK.finditer(flat):
-        a, chunk = m.start(), m[0]
-        after = pii.follow_of(flat[m.end() : m.end() + 24])
+    for a, z in pii.chunks(flat):
+        chunk, after = flat[a:z], pii.follow_of(flat[z : z + 24])
         own, tokens, form = words.tokens(chunk, after)
         before = words.left(pii.left_of(flat, a))
         right = {(x - a, y - a, k) for x, y, k in spans}

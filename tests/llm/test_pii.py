@@ -58,8 +58,9 @@ def test_best_set_is_best(decode):
     """Dynamic programming against all sets of segments."""
     words, weights = decode.words, decode.weights
     for text, _ in T.labelled(150, 8):
-        for m in pii._CHUNK.finditer(pii.flattened(text)):
-            own, like, form = words.tokens(m[0], "")
+        flat = pii.flattened(text)
+        for a, z in pii.chunks(flat):
+            own, like, form = words.tokens(flat[a:z], "")
             scored = [(sum(weights.get(f, 0.0) for f in pii.features(s, like, "", form, "", GIVEN)), s) for s in pii.segments(like, form)]
 
             def best(at, scored=scored, n=len(like)):
