@@ -85,6 +85,8 @@ def word_class(word: str, given: frozenset[str]) -> str:
         return "N"
     if low in ("bis", "quater"):
         return "B"
+    if len(word) == 1:
+        return "K"
     bare = low.rstrip(".")
     if bare in _SETS["T"] and (len(bare) > 1 or word == "M."):
         return "T"
@@ -103,7 +105,7 @@ def word_class(word: str, given: frozenset[str]) -> str:
         return "P" if not word[0].isupper() or word.isupper() and len(word) > 1 else "W"
     if low in _SETS["S"] or low.endswith(STREET_TAIL):
         return "S"
-    if any(c == "0" for c in word) or len(word) == 1:
+    if any(c == "0" for c in word):
         return "K"
     if len(word) > 1 and word.upper() == word and any(c.isalpha() for c in word):
         return "A"
@@ -245,39 +247,51 @@ class Words:
         return got
 
     def _make(self, word: str) -> tuple[str, str]:
-        c, low = word_class(word, self.given), word.lower()
-        own = low.endswith(("'s", "’s"))
+        c = word_class(word, self.given)
+        return c, self._form(word, c)
+
+    def _form(self, word: str, c: str) -> str:
+        low = word.lower()
         if c == "E":
-            return c, "x@x"
+            return "x@x"
         if c in "NK":
-            return c, shape(word)
-        if _MEANT.search(low) or any(low in s for s in _SETS.values()) or _KEPT.fullmatch(low) or len(word) == 1 or c in "TP":
-            return c, word
+            return shape(word)
+        if c in "IJ":
+            return "I." * (1 + (c == "J"))
+        if _MEANT.search(low) or any(low in s for s in _SETS.values()) or _KEPT.fullmatch(low) or c in "TP":
+            return word
         if c == "A":
-            return c, "A" * min(len(word), 5)
-        return c, {"G": "Gg", "W": "Ww", "S": "Ssgasse", "I": "I.", "J": "I.I."}.get(c, word) + "'s" * own
+            return "A" * min(len(word), 5)
+        return {"G": "Gg", "W": "Ww", "S": "Ssgasse"}.get(c, word) + "'s" * low.endswith(("'s", "’s"))
 
     def tokens(self, chunk: str, after: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]], str]:
         """``(begin, end, class)`` of the words of a chunk, the same in the form that stands for it, and that form. ``M.``
         is a title before a given name, and before an initial where the text goes on in French."""
-        own, like, parts, at, to = [], [], [], 0, 0
+        own, like, parts, at = [], [], [], 0
         for m in _TOKEN.finditer(chunk):
             a, z = m.span()
             c, form = self(m[0])
             parts += [chunk[at:a], form]
-            to += a - at
             own.append((a, z, c))
-            like.append((to, to + len(form), c))
-            at, to = z, to + len(form)
-        for k in range(len(own) - 1):
-            a, z, c = own[k]
-            if c in "CTL" and z - a == 2 and chunk[a:z].isupper() and own[k + 1][2] == "N" and own[k + 1][0] == z + 1:
-                own[k], like[k] = (a, z, "A"), (*like[k][:2], "A")  # letters before a number
+            at = z
+        for k, (a, z, c) in enumerate(own):
+            then = own[k + 1][2] if k + 1 < len(own) else ""
+            number = then == "N" and own[k + 1][0] == z + 1
+            if c in "CTLP" and z - a == 2 and chunk[a:z].isupper() and number:
+                new = "A"  # letters before a number
             elif c in "IT" and chunk[a:z] == "M.":
-                then = own[k + 1][2]
-                c = "T" if then == "G" or then == "I" and _FRENCH.search(chunk[z:] + after) else "I"
-                own[k], like[k] = (a, z, c), (*like[k][:2], c)
-                parts[2 * k + 1] = "M." if c == "T" else "I."
+                new = "T" if then == "G" or then == "I" and _FRENCH.search(chunk[z:] + after) else "I"
+            elif c == "S" and not number and all(x[2] != "N" for x in own[max(0, k - 4) : k]):
+                new = "A" if chunk[a:z].isupper() else "W"  # no house number near: a name like that of a street
+            else:
+                continue
+            own[k] = (a, z, new)
+            parts[2 * k + 1] = self._form(chunk[a:z], new)
+        at = 0
+        for k, (_, _, c) in enumerate(own):  # forms may have changed in length
+            at += len(parts[2 * k])
+            like.append((at, at + len(parts[2 * k + 1]), c))
+            at += len(parts[2 * k + 1])
         return own, like, "".join(parts)
 
     def left(self, before: str) -> str:
