@@ -43,17 +43,23 @@ def fold_text(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c)[0] != "M").lower()
 
 
+def _run_tokens(run: str) -> frozenset[str]:
+    if _CJK_ONE.match(run):
+        out = {fold_text(run[i:]) for i in range(len(run))} | {fold_text(c) for c in run}
+    else:
+        out = {fold_text(p) for p in (run, *_PIECES.split(run)) if p}
+    return frozenset(out - {""})
+
+
+_short_run_tokens = lru_cache(100_000)(_run_tokens)
+
+
 def tokenize_text(text: str) -> list[str]:
     """The tokens of a text: its runs of letters and digits, and their pieces at changes of case and between letters and
-    digits; of a run in a script without blanks every character and every ending of the run."""
-    out = set()
-    for run in _RUNS.findall(unicodedata.normalize("NFKC", text)):
-        if _CJK_ONE.match(run):
-            out.update(fold_text(run[i:]) for i in range(len(run)))
-            out.update(fold_text(c) for c in run)
-        else:
-            out.update(fold_text(p) for p in (run, *_PIECES.split(run)) if p)
-    out.discard("")
+    digits; of a run in a script without blanks every character and every ending of the run. Runs repeat, so those of
+    usual length are remembered."""
+    runs = set(_RUNS.findall(unicodedata.normalize("NFKC", text)))
+    out = set().union(*[_short_run_tokens(r) if len(r) < 64 else _run_tokens(r) for r in runs])
     return sorted(out, key=lambda t: t.encode())
 
 

@@ -16,7 +16,7 @@ from catalens.operators import postings as P
 from catalens.operators.live import live_view, reduced_tombstones, without_killed
 from catalens.plans import sql
 from catalens.plans.query import parse, scoring_cap
-from catalens.session import run_dir, written
+from catalens.session import run_dir, spread, written
 from catalens.sources.catalog import Catalog
 from catalens.sources.tables import table
 from catalens.sources.walker import register
@@ -140,7 +140,7 @@ def tokenize_unicode(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def tokenize_documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", K.tokens(F.col("text")).alias("tokens"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", K.tokens(F.col("text")).alias("tokens"))
 
 
 @query()

@@ -45,3 +45,10 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as the cluster has cores, for per-row work in Python on inputs of a few
+    files: one large Parquet row group is one task otherwise. Inputs with enough partitions aren't shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df

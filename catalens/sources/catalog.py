@@ -25,6 +25,7 @@ from catalens.operators.compact import merge_candidates
 from catalens.operators.live import PAYLOAD, cleaned_ops, live_view, newest_per_volume, resolve
 from catalens.operators.postings import postings, write_postings
 from catalens.schemas import OPLOG_SCHEMA, POSTING_SCHEMA, TOMB_SCHEMA
+from catalens.session import written
 from catalens.sources.versioned import VersionConflict, VersionedTable
 
 _COLUMNS = [f.name for f in OPLOG_SCHEMA.fields]
@@ -138,7 +139,8 @@ class Catalog:
         rows, terms = self.table.new_folder(), self.table.new_folder()
         ops.select(_COLUMNS).write.parquet(f"{self.table.root}/{rows}")
         held = self._ops_of([rows])
-        write_postings(postings(held.where("not is_delete").select("path", "volume").distinct()).distinct(), f"{self.table.root}/{terms}")
+        # written before they are sorted: range partitioning reads its input twice
+        write_postings(written(postings(held.where("not is_delete").select("path", "volume").distinct()), "terms"), f"{self.table.root}/{terms}")
         return {"ops": rows, "terms": terms, "rows": held.count(), "live": live}
 
     def _publish(self, add: list[dict], deletes: list[str], streams: dict | None) -> None:
