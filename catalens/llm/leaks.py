@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from catalens.session import spread
+
 SPAN = 12
 #: Fixed masks over the window; 0 marks a position that is ignored.
 MASKS = ("110111011011", "101110110111", "111011101101")
@@ -167,7 +169,7 @@ def leaks(docs: DataFrame, items: DataFrame, bound: int = SEED_BOUND) -> DataFra
     n = items.agg(F.coalesce(F.sum(F.length("text") / 2 + 1), F.lit(0.0))).first()[0] * len(MASKS)
     if n <= bound:
         seeds = build_seeds([tuple(r) for r in items.collect()])
-        found = docs.mapInPandas(_scan(seeds), SCHEMA)
+        found = spread(docs).mapInPandas(_scan(seeds), SCHEMA)
     else:
         found = _hits_joined(docs, items)
     best = F.max(F.struct("exact_words", "words", (-F.col("doc_start")).alias("d"), (-F.col("item_start")).alias("i"))).alias("b")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from catalens.session import small, written
+from catalens.session import small, spread, written
 
 GOLDEN = 0.6180339887498949
 BLOCK_TOKENS, BUCKET_TOKENS, SLOT_CHUNK = 8192, 1 << 24, 1 << 16
@@ -86,7 +86,7 @@ def _counter(path: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFr
 def with_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``(doc_id, source, tokens)`` of the documents that can be selected; every text is counted whole."""
     rows = docs.where("doc_id is not null and source is not null and text is not null and text <> ''").select(F.col("doc_id").cast("long"), "source", "text")
-    return rows.mapInPandas(_counter(path or tokenizer_path()), "doc_id long, source string, tokens long").where("tokens > 0")
+    return spread(rows).mapInPandas(_counter(path or tokenizer_path()), "doc_id long, source string, tokens long").where("tokens > 0")
 
 
 def clean_targets(targets: DataFrame) -> DataFrame:

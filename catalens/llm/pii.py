@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from catalens.session import spread
+
 KINDS = ("name", "email", "phone", "id_number", "address")
 PLACEHOLDER = {"name": "[NAME]", "email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]"}
 MOST_TOKENS = 9
@@ -481,7 +483,7 @@ def found(docs: DataFrame) -> DataFrame:
     """``(doc_id, pii_kind, found_text)``: each distinct value of each document, as it stands in the text."""
     from catalens.llm.pii_train import trained
 
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
+    rows = spread(docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text"))
     return rows.mapInPandas(_finder(trained(), given_names(docs)), "doc_id long, pii_kind string, found_text string").distinct()
 
 
@@ -489,5 +491,5 @@ def masked(docs: DataFrame) -> DataFrame:
     """``(doc_id, text, replaced)``: every document with placeholders for its entities, and how many there are."""
     from catalens.llm.pii_train import trained
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    rows = spread(docs.select(F.col("doc_id").cast("long"), "text"))
     return rows.mapInPandas(_masker(trained(), given_names(docs)), "doc_id long, text string, replaced long")
