@@ -172,12 +172,15 @@ def canonical(entries: DataFrame) -> DataFrame:
 def same_looking(entries: DataFrame) -> DataFrame:
     """``(entry_id_a, entry_id_b)``: pairs of rows whose canonical forms are equal and whose texts differ.
 
-    The pairs are the answer asked for, so a group of n spellings gives its pairs; groups with one spelling only, among
-    them entries listed any number of times, are dropped before any pair is made."""
+    The pairs are the answer asked for, so a group of n spellings gives its pairs. Spellings are paired first, each once, and
+    rows are joined to these pairs by their spelling: no row meets one of its own spelling, so the work follows the output.
+    Groups with one spelling only, among them entries listed any number of times, are dropped before."""
     key = lambda v, p: F.concat(F.coalesce(v, F.lit("\x02")), F.lit("\x01"), F.coalesce(p, F.lit("\x02")))
     rows = written(canonical(entries).select("entry_id", key("volume", "path").alias("text"), key("c_volume", "c_path").alias("look")), "looks")
     several = rows.groupBy("look").agg(F.min("text").alias("a"), F.max("text").alias("z")).where("a <> z").select("look")
-    held = rows.join(several, "look", "left_semi")
-    a = held.select("look", F.col("entry_id").alias("id_a"), F.col("text").alias("text_a"))
-    b = held.select("look", F.col("entry_id").alias("id_b"), F.col("text").alias("text_b"))
-    return a.join(b, "look").where("text_a <> text_b and id_a < id_b").select(F.col("id_a").alias("entry_id_a"), F.col("id_b").alias("entry_id_b"))
+    forms = rows.select("look", "text").distinct().join(several, "look", "left_semi")
+    pairs = forms.withColumnRenamed("text", "text_a").join(forms.withColumnRenamed("text", "text_b"), "look").where("text_a < text_b").select("text_a", "text_b")
+    a = rows.select(F.col("text").alias("text_a"), F.col("entry_id").alias("a"))
+    b = rows.select(F.col("text").alias("text_b"), F.col("entry_id").alias("b"))
+    met = pairs.join(a, "text_a").join(b, "text_b").where("a <> b")
+    return met.select(F.least("a", "b").alias("entry_id_a"), F.greatest("a", "b").alias("entry_id_b"))

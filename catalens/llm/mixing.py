@@ -129,6 +129,11 @@ def schedule(targets: DataFrame, slots: int) -> DataFrame:
 
 def mixture(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, block_tokens: int = BLOCK_TOKENS, path: str | None = None) -> DataFrame:
     """``(slot, source, copy, doc_id, tokens)``: the selection in the order of its slots, one row per use of a document."""
+    return _mixed(docs, targets, total_tokens, block_tokens, path)[0]
+
+
+def _mixed(docs: DataFrame, targets: DataFrame, total_tokens: int | None, block_tokens: int, path: str | None) -> tuple[DataFrame, int]:
+    """The selection and the total that was aimed at."""
     goals = clean_targets(targets)
     counted = written(with_tokens(docs, path), "tokens")
     laid = written(blocks(counted, goals, block_tokens), "blocks")
@@ -137,13 +142,19 @@ def mixture(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None
     slots = schedule(goals, -(-want // block_tokens))
     held = slots.join(per_source.join(goals, "source"), "source").withColumn("blocks", F.col("last") + 1)
     held = held.select("slot", "source", F.pmod("rank", "blocks").alias("block"), F.floor(F.col("rank") / F.col("blocks")).alias("copy"), "copies").where("copy < copies")
-    return held.join(laid, ["source", "block"]).select("slot", "source", F.col("copy").cast("int").alias("copy"), "doc_id", "tokens")
+    return held.join(laid, ["source", "block"]).select("slot", "source", F.col("copy").cast("int").alias("copy"), "doc_id", "tokens"), want
 
 
 def shares(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, block_tokens: int = BLOCK_TOKENS, path: str | None = None) -> DataFrame:
-    """One row per source of the targets: what it should hold and what it holds."""
-    chosen = written(mixture(docs, targets, total_tokens, block_tokens, path), "mixture")
+    """One row per source of the targets: what it should hold (``target_tokens`` of the total) and what it holds, as part
+    of the total that was aimed at (``share_of_total``) and of what was selected (``reached_share``)."""
+    chosen, want = _mixed(docs, targets, total_tokens, block_tokens, path)
+    chosen = written(chosen, "mixture")
     got = chosen.groupBy("source").agg(F.sum("tokens").alias("selected_tokens"), F.count("*").alias("selected_rows"), F.max(F.col("copy") + 1).alias("most_copies"))
     all_tokens = F.sum("selected_tokens").over(W.partitionBy(F.lit(1)))
     rows = clean_targets(targets).join(got, "source", "left").na.fill(0, ["selected_tokens", "selected_rows", "most_copies"])
-    return rows.select("source", F.col("share").alias("target_share"), F.col("copies").alias("max_copies"), "selected_tokens", "selected_rows", "most_copies", F.when(all_tokens > 0, F.col("selected_tokens") / all_tokens).otherwise(0.0).alias("reached_share"))
+    part = lambda n: F.when(n > 0, F.col("selected_tokens") / n).otherwise(0.0)
+    return rows.select(
+        "source", F.col("share").alias("target_share"), F.col("copies").alias("max_copies"), F.round(F.col("share") * want).cast("long").alias("target_tokens"), "selected_tokens", "selected_rows", "most_copies",
+        part(F.lit(want)).alias("share_of_total"), part(all_tokens).alias("reached_share"),
+    )
