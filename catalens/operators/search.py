@@ -58,3 +58,8 @@ def recent_files(entries: DataFrame, since_seconds: int, limit: int, offset: int
 def page(number: int, size: int = 100) -> tuple[int, int]:
     """``(limit, offset)`` of a page; pages are counted from 0, and there is a next one only after a full page."""
     return size, number * size
+
+
+def cutoff_seconds(now_micros: int, days: int = 5) -> int:
+    """The time, in seconds, from which files count as recent."""
+    return max(now_micros // 1_000_000 - days * 86_400, 0)

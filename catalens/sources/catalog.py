@@ -202,6 +202,13 @@ class Catalog:
     def recent_files(self, since_seconds: int, limit: int, offset: int = 0, options: SearchOptions = SearchOptions()) -> DataFrame:
         return S.recent_files(self.live(), since_seconds, limit, offset, options)
 
+    def search_or_recent(self, text: str, limit: int, offset: int = 0, options: SearchOptions = SearchOptions(), now_micros: int | None = None) -> DataFrame:
+        """What an interactive client shows: results for the words typed, or without any the files of the last five days."""
+        now = int(time.time() * 1e6) if now_micros is None else now_micros
+        if text.strip():
+            return self.search(text, limit, offset, options, now)
+        return self.recent_files(S.cutoff_seconds(now), limit, offset, options)
+
     # maintenance
 
     def wait_for_completed_recovery(self) -> None:

@@ -238,3 +238,30 @@ def test_search_plans(spark):
     P.write_postings(P.postings(entries), to)
     plan = S.search(entries, spark.read.parquet(to), "ab cd ef", 10)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1 and plan.count("TakeOrderedAndProject") == 2
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from catalens.__main__ import main
+
+    (tmp_path / "files/sub").mkdir(parents=True)
+    (tmp_path / "files/sub/budget.pdf").write_text("x")
+    (tmp_path / "files/notes.txt").write_text("x")
+    where = f"file://{tmp_path}/catalog"
+    main([where, "index", str(tmp_path / "files")])
+    assert "4 entries" in capsys.readouterr().out
+    main([where, "search", "budget", "--category", "2"])
+    out = capsys.readouterr().out
+    assert "budget.pdf" in out and "DOC " in out and "notes" not in out
+    main([where, "search"])
+    assert "notes.txt" in capsys.readouterr().out
+    main([where, "delete", str(tmp_path / "files/sub"), "--prefix"])
+    main([where, "compact"])
+    main([where, "search", "budget"])
+    assert "budget.pdf" not in capsys.readouterr().out
+
+
+def test_search_or_recent(catalog):
+    catalog.insert_batch([entry("/a/old.txt", t=10), entry("/a/new.txt", t=10**15)])
+    assert paths(catalog.search_or_recent(" ", 5, now_micros=10**15)) == ["/a/new.txt"]
+    assert paths(catalog.search_or_recent("old", 5, now_micros=10**15)) == ["/a/old.txt"]
+    assert S.cutoff_seconds(10) == 0
