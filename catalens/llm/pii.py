@@ -38,7 +38,7 @@ TITLES = "mr mrs ms miss dr prof judge justice herr frau richter richterin recht
 FIRMS = "ltd llp plc gmbh ag sa co-operative inc corp co kg sarl holdings sons shipping freight logistics foundry quarries timber textiles optics dairies partners group bank trust company & et"
 LEGAL = "act acts rules rule rep reports court courts tribunal chamber chambre section case code regulation regulations ordinance order article règlement cour landgericht amtsgericht oberlandesgericht kammer hafenordnung gesetz registrar v vs"
 PARTICLES = "van von de der den di du da la le del dos ten ter zu"
-STREET_AFTER = "road lane street close row walk terrace avenue hill crescent place square way drive gardens mews quay green gate parade rise grove yard court view park saltgate wharf bank end"
+STREET_AFTER = "road lane street close row walk terrace avenue hill crescent place square way drive gardens mews quay green gate parade rise grove yard court view park wharf bank end"
 STREET_BEFORE = "rue avenue quai chemin impasse place boulevard allée cours route passage ruelle sentier square"
 STREET_TAIL = ("straße", "strasse", "gasse", "allee", "weg", "ring", "platz", "ufer", "damm", "steig", "markt", "gate", "chaussee", "pfad", "graben")
 MONTHS = "january february march april may june july august september october november december januar februar märz mai juni juli oktober dezember janvier février mars avril juin juillet août septembre octobre novembre décembre"
@@ -46,7 +46,7 @@ ID_WORDS = r"passport|identity|\bid\b|licen[cs]e|tax|insurance record|social|aus
 OTHER_WORDS = r"account|konto|compte|\blot\b|consignment|folio|invoice|rechnung|facture|container|conteneur|meter|mètre|sum|crowns|case|docket|\baz\b|\brg\b|exhibit|anlage|pièce|section|rule|page|berth|\brn\b|ziffer|considérant|paragraph|article|betrag|somme|§|abs|degrees|percent|prozent|kisten|crates|tage|jours"
 PHONE_WORDS = r"\btel|tél|call|dial|mobile|landline|phone|reached|erreich|\bunter\b|joignable|telefon|handy|rückruf|fax|number of|mobil|portable"
 NAME_WORDS = r"witness|zeug|témoin|before|present|contact|claimant|defendant|signed|between|evidence|names|owner|surety|per|selon|angaben|herr|frau|according|register|neither|relates|gehört|celui|présenté|to|let|lived|cross|kläger|demandeur|klag"
-PLACE_WORDS = r"barge|ship|vessel|town|schiff|bateau|navire|harbour|port|village|mark|remise à|übergabe in|in|the|of"
+PLACE_WORDS = r"barge|ship|vessel|town|schiff|bateau|navire|harbour|port|village|in|the|of"
 
 _SETS = {
     "T": set(TITLES.split()), "C": set(FIRMS.split()), "L": set(LEGAL.split()), "P": set(PARTICLES.split()),
@@ -243,7 +243,7 @@ class Words:
     def __call__(self, word: str) -> tuple[str, str]:
         got = self.known.get(word)
         if got is None:
-            if len(self.known) > 200_000:
+            if len(self.known) > 100_000:
                 self.known.clear()
             got = self.known[word] = self._make(word)
         return got
@@ -386,7 +386,7 @@ class _Memory(dict):
     """Results by key, emptied when there are many."""
 
     def keep(self, key, value):
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         self[key] = value
         return value
