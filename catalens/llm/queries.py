@@ -88,12 +88,15 @@ _WORDS = r"lower(trim(regexp_replace({}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')))"
 _KEYS = "WITH k AS (SELECT line_id, concat(" + ", chr(1), ".join(_WORDS.format(_FIELD.format(n, "|".join(m for m in line_ledger.FIELDS if m != n))) for n in line_ledger.FIELDS) + ") AS key FROM entry_lines WHERE line IS NOT NULL),\n"
 _KEYS += "g AS (SELECT key, count(*) AS lines, min(line_id) AS keep_id FROM k GROUP BY ALL)\n"
 
+_RUNS = "SELECT {0}, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS run FROM (SELECT {0}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM {1} WHERE text IS NOT NULL)"
+
 QUERIES = {"p2_found": p2_found, "p2_weights": p2_weights, "p3_found": p3_found, "p3_counts": p3_counts, "p4_found": p4_found, "p4_canonical": p4_canonical, "p5_found": p5_found, "p5_records": p5_records, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_masked": p9_masked}
 SQL = {
     "p2_found": _TF + "SELECT entry_id, term FROM tf JOIN t USING (term) WHERE tf >= 3 AND df BETWEEN 2 AND 20",
     "p2_weights": _TF + "SELECT entry_id, term, tf, df, gf, log2(1 + tf) * (1 - h / ln(n)) AS weight FROM tf JOIN t USING (term), n",
     "p3_found": _COUNTS + "SELECT term, mark FROM c WHERE mark IS NOT NULL",
     "p3_counts": _COUNTS + "SELECT * FROM c",
+    "p7_found": f"WITH d AS ({_RUNS.format('doc_id', 'documents')}), i AS (SELECT DISTINCT * FROM ({_RUNS.format('item_id', 'eval_items')})) SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (run)",
     "p5_found": _KEYS + "SELECT keep_id, line_id FROM k JOIN g USING (key) WHERE line_id <> keep_id",
     "p5_records": _KEYS + "SELECT key, lines, keep_id FROM g",
 }
