@@ -8,9 +8,10 @@ appearance removed, letters and accents composed.
 *Script-aware repair* replaces look-alike letters, token by token (a token is a run of letters, accents and digits, cut between a small letter and a capital after it). A
 token is suspect if its letters are of several scripts or of a Latin block of look-alikes, or if it isn't Latin and every
 letter has a Latin shape, so that nothing in it shows its script. For each suspect token the possible results are made:
-all look-alikes in the dominant script, that of most letters, then in the others. The first result found in the corpus
-vocabulary replaces the token; without any the token stays. The vocabulary holds the tokens of all rows that aren't
-suspect, and the results that at least two different spellings lead to (an entry may be there in forged spellings only).
+all look-alikes in the dominant script, that of most letters, then in the others. One result replaces all suspect tokens
+of a look, the token with every look-alike in Latin: a result in the corpus vocabulary, the tokens of all rows that aren't
+suspect, wins. Without any, if there are several spellings of the look (an entry may be there in forged spellings only),
+it is the result that most of them lead to, then the Latin one. A single spelling without a known result stays.
 Letter case, accents and the difference between letters and digits are never changed.
 
 Only rows with other than ASCII characters reach Python, suspect tokens alone are joined with the vocabulary, and that
@@ -75,6 +76,13 @@ def _script(c: str) -> str | None:
     return name if name in SHAPES else None
 
 
+def look(token: str) -> str:
+    """A token with every look-alike in Latin: equal for all that look the same."""
+    if token.isascii():
+        return token
+    return unicodedata.normalize("NFC", "".join(_TO_LATIN.get(c, c) for c in unicodedata.normalize("NFD", token)))
+
+
 @lru_cache(200_000)
 def results(token: str) -> tuple[str, ...]:
     """What a suspect token may stand for, the dominant script first; nothing for one that isn't suspect."""
@@ -117,7 +125,7 @@ def pieces(text: str | None) -> list[str] | None:
     return None if text is None else [w for p in _TOKEN.split(fold(text)) if p for w in _words(p)]
 
 
-_FOLDED = "entry_id long, volume string, path string, v_pieces array<string>, p_pieces array<string>, plain array<string>, suspects array<struct<token:string,results:array<string>>>"
+_FOLDED = "entry_id long, volume string, path string, v_pieces array<string>, p_pieces array<string>, plain array<string>, suspects array<struct<token:string,look:string,results:array<string>>>"
 
 
 def _fold_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,20 +140,23 @@ def _fold_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         suspects[t] = list(r)
                     else:
                         plain.add(t)
-            out.append((i, v, p, vp, pp, list(plain), [{"token": t, "results": r} for t, r in suspects.items()]))
+            out.append((i, v, p, vp, pp, list(plain), [{"token": t, "look": look(t), "results": r} for t, r in suspects.items()]))
         yield pd.DataFrame(out, columns=["entry_id", "volume", "path", "v_pieces", "p_pieces", "plain", "suspects"])
 
 
 def repairs(folded: DataFrame, ascii_tokens: DataFrame) -> DataFrame:
-    """``(token, result)``: the replacements that the corpus confirms. ``ascii_tokens``: ``token`` of the rows in ASCII."""
-    suspects = folded.select(F.explode("suspects").alias("s")).select("s.token", "s.results").distinct()
-    options = suspects.select("token", F.posexplode("results").alias("rank", "result"))
+    """``(token, result)``: the replacements that the corpus confirms, one result per look. ``ascii_tokens``: ``token`` of
+    the rows in ASCII."""
+    suspects = folded.select(F.explode("suspects").alias("s")).select("s.token", "s.look", "s.results").distinct()
+    options = suspects.select("token", "look", F.posexplode("results").alias("rank", "result"))
     wanted = options.select(F.col("result").alias("token")).distinct()
     wanted = F.broadcast(wanted) if small(wanted) else wanted
     vocabulary = ascii_tokens.unionByName(folded.select(F.explode("plain").alias("token"))).join(wanted, "token", "left_semi").distinct()
-    agreed = options.groupBy("result").agg(F.count_distinct("token").alias("n")).where("n > 1").select(F.col("result").alias("token"))
-    known = vocabulary.unionByName(agreed).distinct().withColumnRenamed("token", "result")
-    return options.join(known, "result").groupBy("token").agg(F.min(F.struct("rank", "result")).getField("result").alias("result"))
+    offers = options.groupBy("look", "result").agg(F.count("*").alias("n"), F.min("rank").alias("rank"), F.min("token").alias("a"), F.max("token").alias("z"))
+    offers = offers.join(vocabulary.select(F.col("token").alias("result"), F.lit(True).alias("known")), "result", "left")
+    order = F.struct(F.col("known").isNull().alias("new"), (-F.col("n")).alias("n"), (F.col("result") != F.col("look")).alias("other"), "rank", "result")
+    best = offers.groupBy("look").agg(F.min(order).alias("best"), (F.min("a") < F.max("z")).alias("several")).where("several or not best.new")
+    return suspects.select("token", "look").join(best, "look").select("token", "best.result").where("token <> result")
 
 
 def canonical(entries: DataFrame) -> DataFrame:

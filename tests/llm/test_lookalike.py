@@ -50,3 +50,13 @@ def test_canonical(spark, entries):
 def test_many_copies_of_one_spelling(spark):
     df = spark.range(3000).selectExpr("id as entry_id", "'/a/b' as path", "'v' as volume").unionByName(spark.createDataFrame([(9999, "/а/b", "v")], SCHEMA))
     assert K.same_looking(df).count() == 3000
+
+
+def test_one_form_for_all_spellings_of_a_look(spark):
+    ops = ["ops", "орs", "оps", "oрs", "орѕ"]
+    css = ["сss", "сѕs", "ѕѕс", "сѕѕ"]  # never in Latin; the third is another look
+    df = spark.createDataFrame([(i, f"/{w}/x", "v") for i, w in enumerate(ops + css)], SCHEMA)
+    got = {r.entry_id: r.c_path for r in K.canonical(df).collect()}
+    assert {got[i] for i in range(5)} == {"/ops/x"} and {got[i] for i in (5, 6, 8)} == {"/css/x"} and got[7] == "/ѕѕс/x"
+    want = [(a, b) for g in ([0, 1, 2, 3, 4], [5, 6, 8]) for a in g for b in g if a < b]
+    assert rows(K.same_looking(df)) == sorted(want, key=repr)
