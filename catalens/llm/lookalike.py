@@ -11,7 +11,9 @@ letter has a Latin shape, so that nothing in it shows its script. For each suspe
 all look-alikes in the dominant script, that of most letters, then in the others. One result replaces all suspect tokens
 of a look, the token with every look-alike in Latin: a result in the corpus vocabulary, the tokens of all rows that aren't
 suspect, wins. Without any, if there are several spellings of the look (an entry may be there in forged spellings only),
-it is the result that most of them lead to, then the Latin one. A single spelling without a known result stays.
+it is the result that most of them lead to, then the Latin one. A single spelling without a known result stays. A token
+that joins words of two scripts without a capital between them has no result in one script; of its spellings, that with
+the fewest changes of script replaces the others.
 Letter case, accents and the difference between letters and digits are never changed.
 
 Only rows with other than ASCII characters reach Python, suspect tokens alone are joined with the vocabulary, and that
@@ -114,6 +116,12 @@ def results(token: str) -> tuple[str, ...]:
     return tuple(x for x in out if x != token)
 
 
+def changes(token: str) -> int:
+    """How often the script changes from one letter to the next."""
+    scripts = [s for s in map(_script, unicodedata.normalize("NFD", token)) if s]
+    return sum(a != b for a, b in zip(scripts, scripts[1:], strict=False))
+
+
 def _words(run: str) -> list[str]:
     """A run of letters and digits cut where a capital follows a small letter."""
     cuts = [0, *(i for i in range(1, len(run)) if run[i].isupper() and run[i - 1].islower()), len(run)]
@@ -125,7 +133,7 @@ def pieces(text: str | None) -> list[str] | None:
     return None if text is None else [w for p in _TOKEN.split(fold(text)) if p for w in _words(p)]
 
 
-_FOLDED = "entry_id long, volume string, path string, v_pieces array<string>, p_pieces array<string>, plain array<string>, suspects array<struct<token:string,look:string,results:array<string>>>"
+_FOLDED = "entry_id long, volume string, path string, v_pieces array<string>, p_pieces array<string>, plain array<string>, suspects array<struct<token:string,look:string,changes:int,results:array<string>>>"
 
 
 def _fold_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,23 +144,23 @@ def _fold_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             plain, suspects = set(), {}
             for t in {*(vp or []), *(pp or [])}:
                 if _TOKEN.fullmatch(t):
-                    if r := results(t):
-                        suspects[t] = list(r)
+                    if (r := results(t)) or changes(t):
+                        suspects[t] = list(r) or [t]
                     else:
                         plain.add(t)
-            out.append((i, v, p, vp, pp, list(plain), [{"token": t, "look": look(t), "results": r} for t, r in suspects.items()]))
+            out.append((i, v, p, vp, pp, list(plain), [{"token": t, "look": look(t), "changes": changes(t), "results": r} for t, r in suspects.items()]))
         yield pd.DataFrame(out, columns=["entry_id", "volume", "path", "v_pieces", "p_pieces", "plain", "suspects"])
 
 
 def repairs(folded: DataFrame, ascii_tokens: DataFrame) -> DataFrame:
     """``(token, result)``: the replacements that the corpus confirms, one result per look. ``ascii_tokens``: ``token`` of
     the rows in ASCII."""
-    suspects = folded.select(F.explode("suspects").alias("s")).select("s.token", "s.look", "s.results").distinct()
-    options = suspects.select("token", "look", F.posexplode("results").alias("rank", "result"))
+    suspects = folded.select(F.explode("suspects").alias("s")).select("s.token", "s.look", "s.changes", "s.results").distinct()
+    options = suspects.select("token", "look", "changes", F.posexplode("results").alias("rank", "result"))
     wanted = options.select(F.col("result").alias("token")).distinct()
     wanted = F.broadcast(wanted) if small(wanted) else wanted
     vocabulary = ascii_tokens.unionByName(folded.select(F.explode("plain").alias("token"))).join(wanted, "token", "left_semi").distinct()
-    offers = options.groupBy("look", "result").agg(F.count("*").alias("n"), F.min("rank").alias("rank"), F.min("token").alias("a"), F.max("token").alias("z"))
+    offers = options.groupBy("look", "result").agg(F.count("*").alias("n"), F.min(F.when(F.col("token") == F.col("result"), F.col("changes")).otherwise(F.col("rank"))).alias("rank"), F.min("token").alias("a"), F.max("token").alias("z"))
     offers = offers.join(vocabulary.select(F.col("token").alias("result"), F.lit(True).alias("known")), "result", "left")
     order = F.struct(F.col("known").isNull().alias("new"), (-F.col("n")).alias("n"), (F.col("result") != F.col("look")).alias("other"), "rank", "result")
     best = offers.groupBy("look").agg(F.min(order).alias("best"), (F.min("a") < F.max("z")).alias("several")).where("several or not best.new")

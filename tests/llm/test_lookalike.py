@@ -60,3 +60,12 @@ def test_one_form_for_all_spellings_of_a_look(spark):
     assert {got[i] for i in range(5)} == {"/ops/x"} and {got[i] for i in (5, 6, 8)} == {"/css/x"} and got[7] == "/ѕѕс/x"
     want = [(a, b) for g in ([0, 1, 2, 3, 4], [5, 6, 8]) for a in g for b in g if a < b]
     assert rows(K.same_looking(df)) == sorted(want, key=repr)
+
+
+def test_words_of_two_scripts_joined(spark):
+    words = ["отчётscan", "отчётsсan", "ОТЧЁТSCAN", "ОТЧЁТSСAN", "базаscan", "базaѕcan", "базаѕсan", "отчётsсanлон", "ガイドnоrth", "ガイドnorth"]
+    df = spark.createDataFrame([(i, f"/{w}/x", "v") for i, w in enumerate(words)], SCHEMA)
+    got = {r.entry_id: r.c_path for r in K.canonical(df).collect()}
+    assert [got[i] for i in (0, 1, 2, 3)] == [f"/{words[i]}/x" for i in (0, 0, 2, 2)] and got[7] == f"/{words[7]}/x"
+    assert got[4] == got[5] == got[6] == "/базаscan/x" and got[8] == got[9] == "/ガイドnorth/x"
+    assert rows(K.same_looking(df)) == sorted([(0, 1), (2, 3), (4, 5), (4, 6), (5, 6), (8, 9)], key=repr)
