@@ -11,8 +11,9 @@ of leaving its tokens out, which is 0. The weights maximise the conditional like
 
 Scale: one pass over the texts, no shuffle of texts. Digits are made alike before decoding, and a chunk with its context is
 decoded once per task and remembered, so the work follows the number of different contexts. The given names that the
-corpus itself shows (:func:`given_names`) are counted over all documents; a name must make up at least 1 / 5000 of all
-places that show one, so that list has at most 5000 names and can be sent to every task.
+corpus itself shows (:func:`given_names`) are counted over all documents; a name
+must be seen three times, however large the corpus. The list is sent to every task if it has at most ``BROADCAST_ROWS``
+names; beyond that each text gets the names among its words by a shuffle of words, not of texts' chunks.
 
 Null or empty texts give no entities; null ids are left out of :func:`found`. Very long texts are taken whole; chunks of any
 length are decoded in time linear in their length.
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalens.session import spread
+from catalens.session import BROADCAST_ROWS, small, spread, written
 
 KINDS = ("name", "email", "phone", "id_number", "address")
 PLACEHOLDER = {"name": "[NAME]", "email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]"}
@@ -438,22 +439,69 @@ _PARTY_FIRST = rf"(?m)^(?:Claimant|Defendant|Appellant|Respondent|Kläger|Kläge
 _PARTY_LAST = rf"(?m)(?:^|\(signed\) |Before ){_PAIR}(?: \((?:claimant|respondent|appellant|defendant)\)|, (?:appellant|respondent|Registrar|sitting alone|Kläger(?:in)?|Beklagte[rn]?|demande\p{{L}}+|défende\p{{L}}+))$"
 
 
-def given_names(docs: DataFrame) -> frozenset[str]:
-    """The given names, in lower case, that the corpus shows in its parties, judges and signatures: first words of two
-    capitalised words that stand alone in such a place, in at least 1 / 5000 of all such places and three times. Counted
-    over all documents."""
+def shown_names(docs: DataFrame) -> DataFrame:
+    """``(w)``: the given names, in lower case, that the corpus shows in its parties, judges and signatures: first words of
+    two capitalised words that stand alone in such a place, three times at least. Counted over all documents."""
     words = docs.where("text is not null").select(F.explode(F.concat(*[F.regexp_extract_all("text", F.lit(p), 1) for p in (_PARTY_FIRST, _PARTY_LAST)])).alias("w"))
-    counted = words.groupBy(F.lower("w").alias("w")).count()
-    total = counted.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-    rows = counted.where(F.col("count") >= max(3, total / 5000)).collect()  # at most 5000
-    drop = set().union(*_SETS.values())
-    return frozenset(r.w for r in rows if r.w not in drop)
+    drop = sorted(set().union(*_SETS.values()))
+    return words.groupBy(F.lower("w").alias("w")).count().where("count >= 3").where(~F.col("w").isin(drop)).select("w")
 
 
-def _finder(weights: dict[str, float], given: frozenset[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def given_names(docs: DataFrame) -> frozenset[str]:
+    """The names of :func:`shown_names` as a set."""
+    return frozenset(r.w for r in shown_names(docs).collect())
+
+
+_RUN = re.compile(r"[^\W\d_](?:[^\W\d_]|['’-])*")
+_SMALL_LETTER = re.compile(rf"[^\W{_UP}]")
+
+
+def name_keys(text: str, longest: int) -> set[str]:
+    """All parts of a text's words that could be looked up as a name of up to ``longest`` characters, in lower case."""
+    keys = set()
+    for run in {m[0] for m in _RUN.finditer(flattened(text))}:
+        low = [bool(_SMALL_LETTER.match(c)) for c in run]
+        cuts = [0, *(i for i in range(1, len(run)) if not (low[i] and low[i - 1])), len(run)]
+        for k, i in enumerate(cuts):
+            for j in cuts[k + 1 :]:
+                if j - i > longest:
+                    break
+                keys.add(run[i:j].lower())
+    return keys
+
+
+def _with_names(rows: DataFrame, docs: DataFrame, sent: int) -> tuple[DataFrame, frozenset[str] | None]:
+    """The rows and the names for all of them, or, if there are more than ``sent``, the rows with ``given``, the names
+    among their own words, and None."""
+    names = written(shown_names(docs), "names")
+    if small(names, sent):
+        return rows, frozenset(r.w for r in names.collect())
+    longest = names.agg(F.max(F.length("w"))).first()[0]
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [(h, w) for h, text in zip(b["h"], b["text"], strict=True) for w in name_keys(text, longest)]
+            yield pd.DataFrame(out, columns=["h", "w"], dtype=object)
+
+    key = F.sha2("text", 256)
+    words = rows.where("text is not null").select(key.alias("h"), "text").mapInPandas(keys, "h string, w string").distinct()
+    own = words.join(names, "w").groupBy("h").agg(F.collect_set("w").alias("given"))
+    return rows.withColumn("h", key).join(own, "h", "left").drop("h"), None
+
+
+def _decoders(weights: dict[str, float], given: frozenset[str] | None) -> Callable[[pd.DataFrame], Decoder]:
+    """The decoder for a batch: one for all, or one that knows the names of the batch's texts."""
+    if given is not None:
         decode = Decoder(weights, given)
+        return lambda b: decode
+    return lambda b: Decoder(weights, frozenset().union(*(x for x in b["given"] if x is not None)))
+
+
+def _finder(weights: dict[str, float], given: frozenset[str] | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        decoder = _decoders(weights, given)
         for b in batches:
+            decode = decoder(b)
             out = []
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
                 out += [(doc_id, k, v) for k, v in sorted({(KINDS[k], text[a:z]) for a, z, k in decode(text)})]
@@ -462,10 +510,11 @@ def _finder(weights: dict[str, float], given: frozenset[str]) -> Callable[[Itera
     return run
 
 
-def _masker(weights: dict[str, float], given: frozenset[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _masker(weights: dict[str, float], given: frozenset[str] | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        decode = Decoder(weights, given)
+        decoder = _decoders(weights, given)
         for b in batches:
+            decode = decoder(b)
             texts, counts = [], []
             for text in b["text"]:
                 parts, at, spans = [], 0, decode(text) if text else []
@@ -479,17 +528,19 @@ def _masker(weights: dict[str, float], given: frozenset[str]) -> Callable[[Itera
     return run
 
 
-def found(docs: DataFrame) -> DataFrame:
+def found(docs: DataFrame, sent: int = BROADCAST_ROWS) -> DataFrame:
     """``(doc_id, pii_kind, found_text)``: each distinct value of each document, as it stands in the text."""
     from catalens.llm.pii_train import trained
 
     rows = spread(docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text"))
-    return rows.mapInPandas(_finder(trained(), given_names(docs)), "doc_id long, pii_kind string, found_text string").distinct()
+    rows, given = _with_names(rows, docs, sent)
+    return rows.mapInPandas(_finder(trained(), given), "doc_id long, pii_kind string, found_text string").distinct()
 
 
-def masked(docs: DataFrame) -> DataFrame:
+def masked(docs: DataFrame, sent: int = BROADCAST_ROWS) -> DataFrame:
     """``(doc_id, text, replaced)``: every document with placeholders for its entities, and how many there are."""
     from catalens.llm.pii_train import trained
 
     rows = spread(docs.select(F.col("doc_id").cast("long"), "text"))
-    return rows.mapInPandas(_masker(trained(), given_names(docs)), "doc_id long, text string, replaced long")
+    rows, given = _with_names(rows, docs, sent)
+    return rows.mapInPandas(_masker(trained(), given), "doc_id long, text string, replaced long")

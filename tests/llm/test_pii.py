@@ -86,3 +86,11 @@ def test_tables(spark):
     masked = {r.doc_id: (r.text, r.replaced) for r in pii.masked(df).where("doc_id in (2, 3, 5, 6)").collect()}
     assert masked == {2: (None, 0), 3: ("", 0), 5: ("[NAME], Kläger", 1), 6: ("[NAME], appellant\n[NAME] (respondent)", 2)}
     assert pii.found(df.where("false")).count() == 0 and pii.masked(df.where("false")).count() == 0
+
+
+def test_rare_given_names_and_shuffled_list(spark):
+    df = spark.createDataFrame(DOCS, "doc_id long, text string")
+    assert rows(pii.found(df, sent=0)) == rows(pii.found(df)) and rows(pii.masked(df, sent=0)) == rows(pii.masked(df))
+    many = spark.range(16_000).selectExpr("id as doc_id", "if(id < 3, 'Claimant: Ysolde Vrilo', 'Claimant: Tessaly Hult') as text")
+    assert pii.given_names(many) == {"ysolde", "tessaly"}
+    assert {"jean", "pierre", "jean-pierre", "mc", "donald", "mcdonald"} <= pii.name_keys("Jean-Pierre McDonald", 20)
