@@ -33,10 +33,11 @@ def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonical(table(spark, d, "fs_entries")).select("entry_id", "c_volume", "c_path")
 
 
-def _ledger(spark: SparkSession, d: str) -> tuple[line_ledger.LineLedger, DataFrame]:
+def _ledger(spark: SparkSession, d: str, batches: int = 1) -> tuple[line_ledger.LineLedger, DataFrame]:
     lines = table(spark, d, "entry_lines")
     ledger = line_ledger.LineLedger(spark, run_dir(spark, "p5"))
-    ledger.add(lines)
+    for i in range(batches):
+        ledger.add(lines.where(f"pmod(line_id, {batches}) = {i}") if batches > 1 else lines)
     return ledger, lines
 
 
@@ -49,6 +50,11 @@ def p5_records(spark: SparkSession, d: str) -> DataFrame:
     return _ledger(spark, d)[0].rows().select("key", "lines", "keep_id")
 
 
+def p5_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The records after three batches, each joined to what the ledger holds."""
+    return _ledger(spark, d, 3)[0].rows().select("key", "lines", "keep_id")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     found = leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
     return found.where(f"exact_words >= {leaks.SPAN}").select("doc_id", "item_id")
@@ -90,7 +96,7 @@ _KEYS += "g AS (SELECT key, count(*) AS lines, min(line_id) AS keep_id FROM k GR
 
 _RUNS = "SELECT {0}, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS run FROM (SELECT {0}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM {1} WHERE text IS NOT NULL)"
 
-QUERIES = {"p2_found": p2_found, "p2_weights": p2_weights, "p3_found": p3_found, "p3_counts": p3_counts, "p4_found": p4_found, "p4_canonical": p4_canonical, "p5_found": p5_found, "p5_records": p5_records, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_masked": p9_masked}
+QUERIES = {"p2_found": p2_found, "p2_weights": p2_weights, "p3_found": p3_found, "p3_counts": p3_counts, "p4_found": p4_found, "p4_canonical": p4_canonical, "p5_found": p5_found, "p5_records": p5_records, "p5_batches": p5_batches, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_masked": p9_masked}
 SQL = {
     "p2_found": _TF + "SELECT entry_id, term FROM tf JOIN t USING (term) WHERE tf >= 3 AND df BETWEEN 2 AND 20",
     "p2_weights": _TF + "SELECT entry_id, term, tf, df, gf, log2(1 + tf) * (1 - h / ln(n)) AS weight FROM tf JOIN t USING (term), n",
@@ -99,4 +105,5 @@ SQL = {
     "p7_found": f"WITH d AS ({_RUNS.format('doc_id', 'documents')}), i AS (SELECT DISTINCT * FROM ({_RUNS.format('item_id', 'eval_items')})) SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (run)",
     "p5_found": _KEYS + "SELECT keep_id, line_id FROM k JOIN g USING (key) WHERE line_id <> keep_id",
     "p5_records": _KEYS + "SELECT key, lines, keep_id FROM g",
+    "p5_batches": _KEYS + "SELECT key, lines, keep_id FROM g",
 }

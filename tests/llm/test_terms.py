@@ -113,3 +113,13 @@ def test_ledger_hot_group(spark):
     empty = line_ledger.LineLedger(spark, run_dir(spark, "ledger"))
     empty.add(df.where("false"))
     assert empty.copies(df).count() == 0 and empty.rows().count() == 0
+
+
+def test_ledger_query_in_batches(spark):
+    import duckdb
+
+    from catalens.llm import queries
+
+    d = "/root/testdata/sf0.001"
+    duckdb_rows = duckdb.connect().execute(queries.SQL["p5_batches"].replace("FROM entry_lines", f"FROM '{d}/entry_lines.parquet'")).fetchall()
+    assert rows(queries.QUERIES["p5_batches"](spark, d)) == sorted(duckdb_rows, key=repr)
