@@ -8,9 +8,10 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalens.functions.tokens import all_terms
+from catalens.functions.tokens import VOLUME_TAG, all_terms
 from catalens.model import SearchOptions
 from catalens.plans.query import Query, is_exact, is_short
+from catalens.sources.versioned import CODEC
 
 
 def postings(entries: DataFrame) -> DataFrame:
@@ -19,11 +20,13 @@ def postings(entries: DataFrame) -> DataFrame:
     return rows.select(F.explode("terms").alias("term"), "path")
 
 
-def write_postings(rows: DataFrame, to: str, partitions: int | None = None) -> None:
-    """Postings sorted by term over range partitions, so a prefix touches few row groups. Range bounds go by term and path:
-    a term in most entries is cut into several partitions."""
-    ranged = rows.repartitionByRange(partitions, "term", "path") if partitions else rows.repartitionByRange("term", "path")
-    ranged.sortWithinPartitions("term", "path").write.parquet(to)
+def write_postings(rows: DataFrame, to: str, partitions: int | None = None, ranged: bool = True) -> None:
+    """Postings sorted by term, so a prefix touches few row groups. ``ranged``: over range partitions, whose bounds go by
+    term and path, so that a term in most entries is cut into several; else each task sorts its own rows and nothing is
+    shuffled, which suits the small generations of a log."""
+    if ranged:
+        rows = rows.repartitionByRange(partitions, "term", "path") if partitions else rows.repartitionByRange("term", "path")
+    rows.sortWithinPartitions("term", "path").write.option("compression", CODEC).parquet(to)
 
 
 def posting_counts(rows: DataFrame) -> DataFrame:
@@ -52,7 +55,8 @@ def expansions(rows: DataFrame, token: str, options: SearchOptions, cap: int, fi
 
 
 def match_all(rows: DataFrame, query: Query, options: SearchOptions, cap: int) -> DataFrame:
-    """``path`` of the entries that hold a term for every token: one scan with all predicates, one partial aggregate."""
+    """``path`` of the entries that hold a term for every token: one scan with all predicates, one partial aggregate. A
+    volume that is asked for is one more term, so entries that were never on it are left out before they are read."""
     tests: list[Column] = []
     for i, token in enumerate(query.tokens):
         if is_short(token, options):
@@ -61,6 +65,8 @@ def match_all(rows: DataFrame, query: Query, options: SearchOptions, cap: int) -
             tests.append(F.col("term").isin(terms) if terms else F.lit(False))
         else:
             tests.append(term_test(token))
+    if options.volume_name:
+        tests.append(F.col("term") == F.lower(F.lit(VOLUME_TAG + options.volume_name)))
     bits = [F.max(F.when(t, 1).otherwise(0)).alias(f"hit{i}") for i, t in enumerate(tests)]
     held = rows.where(reduce(or_, tests)).groupBy("path").agg(*bits)
     return held.where(" and ".join(f"hit{i} = 1" for i in range(len(tests)))).select("path")

@@ -6,7 +6,9 @@ back what a newer version hides. The order of results is total: score, time of c
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalens.functions.score import score_column
@@ -16,6 +18,10 @@ from catalens.operators.filters import latest, of_options, recent_since
 from catalens.operators.postings import match_all
 from catalens.plans.query import parse, scoring_cap
 from catalens.schemas import RESULT_COLUMNS, RESULT_SCHEMA
+from catalens.session import small, written
+
+#: Live entries, or a function that gives those of some paths.
+Entries = DataFrame | Callable[[DataFrame], DataFrame]
 
 
 def prerank(rows: DataFrame, cap: int) -> DataFrame:
@@ -29,24 +35,43 @@ def ranked(rows: DataFrame, limit: int, offset: int) -> DataFrame:
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
-def candidates(entries: DataFrame, postings: DataFrame, text: str, limit: int, offset: int, options: SearchOptions) -> DataFrame:
+def bounded(paths: DataFrame) -> DataFrame:
+    """Distinct paths, written once and, if a count shows at most ``BROADCAST_ROWS`` of them, sent to all tasks, so that the
+    log they are looked up in isn't shuffled."""
+    paths = written(paths, "paths")
+    return F.broadcast(paths) if small(paths) else paths
+
+
+def candidates(entries: Entries, postings: DataFrame, text: str, limit: int, offset: int, options: SearchOptions) -> DataFrame:
     """The rows that match and pass the filters, at most the scoring cap."""
     query, cap = parse(text), scoring_cap(limit, offset, options)
-    paths = match_all(postings, query, options, cap)
-    return prerank(entries.where(of_options(options)).join(paths, "path", "left_semi"), cap)
+    paths = bounded(match_all(postings, query, options, cap))
+    rows = entries(paths) if callable(entries) else entries.join(paths, "path", "left_semi")
+    return prerank(rows.where(of_options(options)), cap)
 
 
-def search(entries: DataFrame, postings: DataFrame, text: str, limit: int, offset: int = 0, options: SearchOptions = SearchOptions(), now_micros: int = 0) -> DataFrame:
+def search(entries: Entries, postings: DataFrame, text: str, limit: int, offset: int = 0, options: SearchOptions = SearchOptions(), now_micros: int = 0) -> DataFrame:
     """One page of results. A query without tokens has none."""
     query = parse(text)
     if not query.tokens:
-        return entries.sparkSession.createDataFrame([], RESULT_SCHEMA)
-    # A Python score would be moved below the limit of the pre-ranking and make it a full sort; this keeps it above.
+        return postings.sparkSession.createDataFrame([], RESULT_SCHEMA)
     rows = candidates(entries, postings, text, limit, offset, options)
-    rows = rows.mapInArrow(lambda batches: batches, rows.schema)
     make = options.scoring.function or score_column
-    scored = rows.withColumn("score", make(options.scoring.weights, list(query.tokens), list(query.raw), now_micros))
-    return ranked(scored.select(*RESULT_COLUMNS), limit, offset)
+    score = make(options.scoring.weights, list(query.tokens), list(query.raw), now_micros)
+    if _in_python(rows, score):
+        # A Python score would be moved below the limit of the pre-ranking and make it a full sort; this keeps it above.
+        rows = rows.mapInArrow(lambda batches: batches, rows.schema)
+    return ranked(rows.withColumn("score", score).select(*RESULT_COLUMNS), limit, offset)
+
+
+def _in_python(rows: DataFrame, score: Column) -> bool:
+    plan = rows.limit(0).select(score)._jdf.queryExecution().analyzed().toString()
+    return "UDF" in plan or "run(" in plan
+
+
+def recent_paths(ops: DataFrame, since_seconds: int, options: SearchOptions) -> DataFrame:
+    """The paths with an op that passes the filters of :func:`recent_files`."""
+    return bounded(ops.where(recent_since(since_seconds) & of_options(options)).select("path").distinct())
 
 
 def recent_files(entries: DataFrame, since_seconds: int, limit: int, offset: int = 0, options: SearchOptions = SearchOptions()) -> DataFrame:

@@ -9,27 +9,39 @@ from pyspark.sql import functions as F
 DIRECT_ROWS, BINS = 20_000, 1024
 
 
-def _at_rank(values: DataFrame, rank: int) -> float:
-    """The value of a 0-based rank of the column ``x``. Each pass counts the values in 1,024 equal bins and goes on in the
-    bin that holds the rank, so no task sorts more than ``DIRECT_ROWS`` rows, however many there are."""
-    part = values
-    while True:
-        low, high, n = part.agg(F.min("x"), F.max("x"), F.count("*")).first()
-        if low == high:
-            return low
-        if n <= DIRECT_ROWS:
-            return part.orderBy("x").offset(rank).limit(1).first()[0]
-        width = (high - low) / BINS
-        if not low < low + width < high:  # next neighbours in double precision
-            fewer = part.where(F.col("x") == low).count()
-            return low if rank < fewer else high
-        place = F.least(F.floor((F.col("x") - low) / width), F.lit(BINS - 1))
-        before = 0
-        for k, count in sorted((r[0], r[1]) for r in part.groupBy(place.alias("k")).count().collect()):
-            if before + count > rank:
-                part, rank = part.where(place == k), rank - before
-                break
-            before += count
+def _at_ranks(values: DataFrame, ranks: list[int], low: float, high: float, n: int) -> dict[int, float]:
+    """The values of 0-based ranks of the ``n`` values of the column ``x``, which lie from ``low`` to ``high``.
+
+    Each pass counts, for all ranks that are open, the values of their range in 1,024 equal bins, with the bins' own least
+    and greatest values, and each rank goes on in its bin. So a pass is one scan however many ranks there are, and its result
+    has at most 1,024 rows a rank. Ranges of at most ``DIRECT_ROWS`` values are sorted in one last scan."""
+    found: dict[int, float] = {}
+    parts = {r: (low, high, n, r) for r in ranks}  # range, its count, the rank within it
+    while parts:
+        for r in [r for r, (a, z, _, _) in parts.items() if a == z]:
+            found[r] = parts.pop(r)[0]
+        wide = sorted({p[:2] for p in parts.values() if p[2] > DIRECT_ROWS})
+        if not wide:
+            break
+        places = F.array(*[F.when(F.col("x").between(a, z), F.struct(F.lit(k).alias("k"), F.least(F.floor((F.col("x") - a) / (z - a) * BINS), F.lit(BINS - 1)).alias("bin"))) for k, (a, z) in enumerate(wide)])
+        seen = values.select("x", F.explode(F.filter(places, lambda p: p.isNotNull())).alias("p")).groupBy("p.k", "p.bin")
+        counts = seen.agg(F.count("*"), F.min("x"), F.max("x")).collect()
+        for r, (a, z, size, rank) in parts.items():
+            if size <= DIRECT_ROWS:
+                continue
+            for _, _, c, least, most in sorted(x for x in counts if wide[x[0]] == (a, z)):
+                if rank < c:
+                    parts[r] = (least, most, c, rank)
+                    break
+                rank -= c
+    if parts:
+        ranges = sorted({p[:2] for p in parts.values()})
+        inside = F.array(*[F.when(F.col("x").between(a, z), F.lit(k)) for k, (a, z) in enumerate(ranges)])
+        held = values.select("x", F.explode(F.filter(inside, lambda k: k.isNotNull())).alias("k")).groupBy("k").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+        at = {k: F.element_at("xs", F.lit(rank + 1)) for k, rank in ((r, p[3]) for r, p in parts.items())}
+        for k, *row in held.select("k", *[F.when(F.col("k") == ranges.index(parts[r][:2]), v) for r, v in at.items()]).collect():
+            found |= {r: x for r, x in zip(at, row, strict=True) if ranges.index(parts[r][:2]) == k}
+    return found
 
 
 def percentile_ranks(n: int, parts: tuple[float, ...]) -> list[int]:
@@ -40,8 +52,10 @@ def percentile_ranks(n: int, parts: tuple[float, ...]) -> list[int]:
 def percentiles(df: DataFrame, column: str, parts: tuple[float, ...] = (0.5, 0.75, 0.9, 0.95, 0.99)) -> DataFrame:
     """One row ``p50, p75, ...`` with ``avg`` and ``max``; exact. Nulls and NaN are ignored; no values give nulls."""
     values = df.select(F.col(column).cast("double").alias("x")).where("x is not null and not isnan(x)")
-    n, mean, top = values.agg(F.count("*"), F.avg("x"), F.max("x")).first()
-    row = {f"p{round(p * 100)}": _at_rank(values, r) if n else None for p, r in zip(parts, percentile_ranks(n, parts), strict=True)}
+    n, mean, top, low = values.agg(F.count("*"), F.avg("x"), F.max("x"), F.min("x")).first()
+    ranks = percentile_ranks(n, parts)
+    found = _at_ranks(values, ranks, low, top, n) if n else {}
+    row = {f"p{round(p * 100)}": found.get(r) for p, r in zip(parts, ranks, strict=True)}
     names = list(row)
     return df.sparkSession.createDataFrame([(*row.values(), mean, top)], ", ".join(f"{c} double" for c in [*names, "avg", "max"]))
 

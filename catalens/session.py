@@ -13,16 +13,16 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session. Where it is unset (tests, one machine) a
-    folder is made and set as the checkpoint folder."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session. Where it is unset and the master is local
+    (tests, one machine) a folder is made and set as the checkpoint folder; on a cluster that is an error, since a folder
+    of one machine would hold a part of the rows only."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        here = spark.sparkContext.getCheckpointDir()
-        if here:
-            return here
-        where = "file://" + tempfile.mkdtemp(prefix="catalens-", dir=os.environ.get("CATALENS_TMP"))
-        spark.sparkContext.setCheckpointDir(where)
-        return spark.sparkContext.getCheckpointDir()
+        master = spark.sparkContext.master
+        if not (master.startswith("local") and not master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="catalens-", dir=os.environ.get("CATALENS_TMP")))
+        where = spark.sparkContext.getCheckpointDir()
     return where
 
 

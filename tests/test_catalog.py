@@ -107,6 +107,90 @@ def test_two_writers(spark):
     assert sorted(paths(Catalog(spark, root).search("txt", 5, now_micros=NOW))) == ["/x/a.txt", "/x/b.txt"]
 
 
+def test_newer_means_published_later(spark):
+    """Handles that were opened before others wrote, and sequences of the ops' own."""
+    root = run_dir(spark, "catalog")
+    a, b = Catalog(spark, root), Catalog(spark, root)
+    a.insert_batch(spark.createDataFrame([("/x/a.txt", "v", 0, 1, 1, 0, 0), ("/y/b.txt", "v", 0, 1, 1, 0, 0)], ENTRY_SCHEMA))
+    b.delete("/x/a.txt")
+    b.sync()
+    assert paths(a.live()) == ["/y/b.txt"]
+    high = 9_000_000_000_000_000
+    b.append_ops(spark.createDataFrame([("/z/c.txt", "v", 0, 1, 1, 0, 0, high, False)], OPLOG_SCHEMA))
+    a.delete("/z/c.txt")
+    a.delete_prefix("/y")
+    assert paths(a.live()) == []
+    a.insert(entry("/z/c.txt"))
+    assert paths(a.live()) == ["/z/c.txt"] and paths(a.recent_files(0, 9)) == ["/z/c.txt"]
+    a.close()
+    assert paths(b.live()) == ["/z/c.txt"] and b.live().first().seq == high + 3
+
+
+def test_late_ops_meet_what_was_merged(spark):
+    def c_ops(*data):
+        return spark.createDataFrame([(p, v, 0, 1, 1, 0, 0, s, d) for p, v, s, d in data], OPLOG_SCHEMA)
+
+    def t(*data):
+        return spark.createDataFrame(data, "volume string, prefix string, seq long")
+
+    c = Catalog(spark, run_dir(spark, "catalog"))
+    c.append_ops(c_ops(("/a", "v", 10, False), ("/a", "", 20, True), ("/b", "v", 10, False), ("/b", "w", 12, False), ("/d/x", "v", 5, False)))
+    c.add_tombstones(t((None, "/d", 30)))
+    c.force_compact_all()
+    assert paths(c.live()) == ["/b"]
+    c.append_ops(c_ops(("/a", "v", 15, False), ("/d/y", "v", 29, False), ("/e", "v", 1, False)))  # older than the merged deletes
+    assert sorted(paths(c.live())) == ["/b", "/e"]
+    c.add_tombstones(t(("w", "/b", 50)))  # the older op on another volume comes to light
+    assert rows(c.live().select("path", "volume", "seq")) == [("/b", "v", 10), ("/e", "v", 1)]
+    c.force_compact_all()
+    c.force_compact_all()
+    assert rows(c.live().select("path", "volume", "seq")) == [("/b", "v", 10), ("/e", "v", 1)]
+    c.append_ops(c_ops(("/a", "v", 60, False)))
+    assert "/a" in paths(c.live())
+    c.purge()
+    assert c._meta()["tombs"] == [] and c.ops().where("is_delete").count() == 0
+    c.append_ops(c_ops(("/a", "", 30, True), ("/q", "v", 3, False)))  # below the floor: ignored
+    assert sorted(paths(c.live())) == ["/a", "/b", "/e"]
+
+
+def test_log_survives_the_driver(spark):
+    root = run_dir(spark, "catalog")
+    lost = Catalog(spark, root)
+    lost.insert(entry("/x/a.txt"))
+    lost.insert(entry("/x/b.txt"))
+    lost.delete_prefix("/x/a.txt")
+    other = Catalog(spark, root)  # the first handle never synced
+    assert paths(other.live()) == ["/x/b.txt"]
+    lost.insert(entry("/x/c.txt"))  # it was alive after all
+    assert sorted(paths(lost.live())) == ["/x/b.txt", "/x/c.txt"]
+    other.delete("/x/b.txt")
+    other.sync()
+    lost.sync()
+    assert paths(Catalog(spark, root).live()) == ["/x/c.txt"] and lost.live().count() == 1
+    lost.sync()
+    assert lost._meta()["generations"] == Catalog(spark, root)._meta()["generations"]
+
+
+def test_search_resolves_the_paths_it_found_only(spark, catalog):
+    catalog.insert_batch([entry(f"/foo/f{i}.txt") for i in range(9)])
+    catalog.sync()
+    catalog.insert_batch([entry("/foo/f1.txt", "vol2")])
+    catalog.delete_prefix("/bar")
+    catalog.sync()
+    plan = catalog.search("f1", 5, now_micros=NOW)._jdf.queryExecution().optimizedPlan().toString()
+    join, last = plan.index("LeftSemi"), plan.rindex("Aggregate", 0, plan.index("LeftSemi"))
+    assert 0 < last < join  # trees are printed from the root: the aggregate is above the semi-join
+    assert [r.volume for r in catalog.search("f1", 5, 0, SearchOptions(volume_name="vol2"), NOW).collect()] == ["vol2"]
+    assert paths(catalog.search("f1", 5, 0, SearchOptions(volume_name="vol1"), NOW)) == []
+
+
+def test_held_back_rows_are_bounded(spark):
+    c = Catalog(spark, run_dir(spark, "catalog"), CompactorConfig(flush_threshold=5))
+    for i in range(7):
+        c.delete_prefix(f"/p{i}")
+    assert len(c._held) == 2 and sum(t["rows"] for t in c._meta()["tombs"]) == 5
+
+
 def test_filters(catalog):
     catalog.insert_batch([entry("/d/a.txt"), entry("/d/b.txt", "vol2", category=Category.IMAGE, volume_type=VolumeType.NETWORK), entry("/d/c.txt", kind=Kind.SYMLINK, category=0), entry("/d/txt", kind=Kind.DIRECTORY, category=0)])
 
