@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from catalens.operators.changefeed import ChangeFeed
 from catalens.operators.incremental import IncrementalTarget, taken_in
@@ -10,9 +11,23 @@ from catalens.plans.sql import LIVE
 from catalens.session import run_dir
 from catalens.sources.tables import table
 
-def _applied(spark: SparkSession, d: str) -> ChangeFeed:
+
+def in_order(df: DataFrame, key: str, parts: int) -> list[DataFrame]:
+    """A table in so many parts of its numbers, one after the other; rows without number are in the first."""
+    low, high = df.agg(F.min(key), F.max(key)).first()
+    if low is None:
+        return [df]
+    edges = [low + (high + 1 - low) * i // parts for i in range(1, parts)]
+    place = sum((F.when(F.col(key) >= e, 1).otherwise(0) for e in edges), F.lit(0))
+    return [df.where(place == i) for i in range(parts)]
+
+
+def _applied(spark: SparkSession, d: str, batches: int = 3) -> ChangeFeed:
+    """The change feed applied as it arrives, in batches, each on the state that the one before left."""
     feed = ChangeFeed(spark, run_dir(spark, "p1"))
-    feed.apply(table(spark, d, "fs_oplog"), table(spark, d, "fs_tombstones"))
+    changes, deletes = in_order(table(spark, d, "fs_oplog"), "rec_id", batches), in_order(table(spark, d, "fs_tombstones"), "tomb_id", batches)
+    for i in range(max(len(changes), len(deletes))):
+        feed.apply(changes[min(i, len(changes) - 1)], deletes[i] if i < len(deletes) else None)
     return feed
 
 

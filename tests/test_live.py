@@ -4,6 +4,7 @@ import pytest
 from conftest import rows
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from catalens.operators import live as V
 from catalens.operators.changefeed import ChangeFeed
@@ -86,7 +87,7 @@ OPS = st.lists(st.tuples(NAMES, st.integers(1, 30), st.sampled_from(["v", "w"]),
 TOMBS = st.lists(st.tuples(st.sampled_from([None, "v", "w"]), st.sampled_from(["/a", "/A", "/a/b", "x", ""]), st.integers(1, 30)), max_size=4)
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 @given(OPS, TOMBS, st.randoms())
 def test_any_order_of_batches(spark, changes, deletes, rnd):
     """The change feed gives the same state for ops in any order, split into batches anywhere, with repeats."""
@@ -108,7 +109,7 @@ def test_feed_versions_and_hot_path(spark):
     rnd.shuffle(data)
     feed = ChangeFeed(spark, run_dir(spark, "feed"), bucket_rows=500)
     one = feed.apply(ops(spark, data))
-    assert one["meta"]["buckets"] >= 11 and rows(feed.current(payload=[]).select("path", "seq")) == brute(data, [])
+    assert one["meta"]["buckets"] == 8 and rows(feed.current(payload=[]).select("path", "seq")) == brute(data, [])
     two = feed.apply(ops(spark, [op("hot", 9000, delete=True)]))
     assert sum(one["meta"]["state"][b] != f for b, f in two["meta"]["state"].items()) == 1  # one bucket was written again
     assert feed.current(version=1).count() == 2001 and feed.current().count() == 2000
@@ -116,6 +117,47 @@ def test_feed_versions_and_hot_path(spark):
     assert feed.current().count() == 2000
 
 
+def test_buckets_follow_the_state(spark):
+    """One row first, then many: buckets split, and none is left above its size."""
+    feed = ChangeFeed(spark, run_dir(spark, "feed"), bucket_rows=2000)
+    assert feed.apply(ops(spark, [op("/p/3", 1)]))["meta"]["buckets"] == 4
+    many = spark.range(60_000).selectExpr("concat('/p/', id) as path", "'v' as volume", "0 as kind", "id as last_modified", "id as last_accessed", "1 as category", "0 as volume_type", "id + 10 as seq", "false as is_delete")
+    two = feed.apply(many)["meta"]
+    assert two["buckets"] == 32 and two["rows"] == 60_000 and max(n for _, n in two["state"].values()) < 2400
+    three = feed.apply(many.where("id % 2 = 0").withColumn("seq", F.col("seq") + 100_000))["meta"]
+    assert three["rows"] == 60_000 and three["buckets"] == 64 and feed.current().where("seq > 100000").count() == 30_000
+    four = feed.apply(ops(spark, [op("/p/3", 5, delete=True), op("/p/3", 7)]))["meta"]  # older than what is there
+    assert sum(three["state"][b] != f for b, f in four["state"].items()) == 1 and feed.current().count() == 60_000
+
+
+def test_upsert_beyond_its_memory(tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    from catalens.operators import changefeed as C
+
+    monkeypatch.setenv("SPARK_LOCAL_DIRS", str(tmp_path))
+    monkeypatch.setattr(C, "_connect", lambda f=C._connect: f("100MB"))
+
+    def batches(n):
+        for k in range(0, n, 50_000):
+            i = range(k, k + 50_000)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([i, [f"/some/long/path/to/fill/memory/{x:09d}" for x in i], ["v"] * len(i), [0] * len(i), i, i, [1] * len(i), [0] * len(i), i, [False] * len(i)], [f.type for f in C._ARROW], strict=True)], schema=C._ARROW)
+
+    assert sum(b.num_rows for b in C.upsert(batches(800_000))) == 800_000
+    assert list(tmp_path.iterdir()) == []
+
+
+def test_both_ways_to_find_prefix_deletes(spark):
+    rnd = random.Random(4)
+    names = ["a", "B", "é", "", "c c", "Ab"]
+    data = [op("/".join(rnd.choice(names) for _ in range(rnd.randint(1, 6))), s, rnd.choice(["v", "w", None])) for s in range(1, 300)] + [op("d/" * 1500 + "x", 3), op("d/" * 1500 + "y", 900)]
+    deletes = [(rnd.choice([None, "v", "w"]), "/".join(rnd.choice(names) for _ in range(rnd.randint(1, 3))), rnd.randint(1, 300)) for _ in range(40)] + [(None, "D/" * 700 + "d", 50)]
+    want = brute(data, deletes)
+    for sent in (0, 1000):
+        assert rows(V.live_view(ops(spark, data), tombs(spark, deletes), sent).select("path", "seq")) == want
+        assert len(want) == V.without_killed(ops(spark, data), tombs(spark, deletes), sent).select("path").distinct().count()
+
+
 def test_feed_edges(spark):
     feed = ChangeFeed(spark, run_dir(spark, "feed"))
     feed.apply(ops(spark, []), tombs(spark, []))
@@ -133,7 +175,41 @@ def test_versions_are_published_once(spark):
     t.publish([], {"a": 2})
     assert t.manifest()["meta"] == {"a": 2} and t.manifest(1)["meta"] == {"a": 1} and t.versions() == [1, 2]
     spark.range(3).write.parquet(f"{t.root}/{t.new_folder()}")
-    assert t.vacuum() == 1 and t.versions() == [2]
+    assert t.vacuum() == 0 and t.versions() == [1, 2]  # it may belong to a write that goes on
+    assert t.vacuum(older_than=0) == 1 and t.versions() == [2]
+
+
+def test_one_of_many_publishers_wins(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from catalens.sources import versioned
+
+    root = run_dir(spark, "race")
+
+    def publish(k):
+        try:
+            return VersionedTable(spark, root).publish([], {"by": k}, expect=0)["meta"]["by"]
+        except VersionConflict:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        won = [k for k in pool.map(publish, range(8)) if k is not None]
+    assert won == [VersionedTable(spark, root).manifest()["meta"]["by"]]
+    for commit in (versioned.renamed, versioned.created):
+        t = VersionedTable(spark, run_dir(spark, "commit"), commit)
+        t.publish([], {"by": 1}, expect=0)
+        with pytest.raises(VersionConflict):
+            t.publish([], {"by": 2}, expect=0)
+        assert t.manifest()["meta"]["by"] == 1
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    from catalens.session import shared_dir
+
+    with pytest.raises(RuntimeError):
+        shared_dir(N(conf=N(get=lambda k, d: None), sparkContext=N(master="yarn", getCheckpointDir=lambda: None)))
 
 
 def test_cover():
