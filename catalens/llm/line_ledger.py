@@ -7,6 +7,9 @@ its own (before the shuffle too, so a record with a third of all lines leaves ea
 to the ledger's buckets that it touches; counts are added, the smaller line id stays, and one manifest publishes the new
 buckets with the untouched old ones.
 
+The manifest counts the records. The number of buckets, a power of two, doubles when there are more than ``bucket_rows``
+records for each: a bucket then splits by one more bit of the key's hash, in the batch that asks for it.
+
 A line without one of the labels has no words for that field. Null lines and null line ids stand for no record. A line
 applied twice counts twice: the caller hands over new lines only. An empty batch publishes no change.
 """
@@ -17,12 +20,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from catalens.operators.changefeed import power_of_two
 from catalens.operators.skew import join_unique
-from catalens.session import shuffle_partitions
+from catalens.session import shuffle_partitions, written
 from catalens.sources.versioned import VersionedTable
 
 FIELDS = ["path", "volume", "kind"]
-LEDGER_SCHEMA = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("key", T.StringType()), T.StructField("lines", T.LongType()), T.StructField("keep_id", T.LongType())])
+BUCKET_ROWS = 2_000_000
+LEDGER_SCHEMA = T.StructType([T.StructField("key", T.StringType()), T.StructField("lines", T.LongType()), T.StructField("keep_id", T.LongType())])
+_WRITTEN = T.StructType([*LEDGER_SCHEMA.fields, T.StructField("b", T.IntegerType())])
 _LABEL = r"(?:^|[^\p{L}\p{N}])%s[\"']?\s*[:=]"
 
 
@@ -41,41 +47,56 @@ def line_key(line: Column, names: list[str] = FIELDS) -> Column:
     return F.concat_ws("\u0001", *[words(field(line, n, names)) for n in names])
 
 
+def keyed(lines: DataFrame) -> DataFrame:
+    """``(line_id, key)`` of the lines ``(line_id, line)``."""
+    return lines.where("line is not null and line_id is not null").select(F.col("line_id").cast("long"), line_key(F.col("line")).alias("key"))
+
+
+def _bucket(buckets: int) -> Column:
+    return F.xxhash64("key").bitwiseAND(buckets - 1).cast("int")
+
+
 class LineLedger:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.table = spark, VersionedTable(spark, root)
+    def __init__(self, spark: SparkSession, root: str, bucket_rows: int = BUCKET_ROWS):
+        self.spark, self.table, self.bucket_rows = spark, VersionedTable(spark, root), bucket_rows
 
     def rows(self) -> DataFrame:
         """``(key, lines, keep_id)`` of the newest version."""
-        return self._read(list(self.table.manifest()["meta"].get("held", {}).values())).drop("bucket")
+        return self._read([f for f, _ in self.table.manifest()["meta"].get("held", {}).values()])
 
     def _read(self, folders: list[str]) -> DataFrame:
         return self.table.read(folders, LEDGER_SCHEMA)
 
     def add(self, lines: DataFrame) -> dict:
         """Take in a batch of ``(line_id, line)``; gives the manifest that was published."""
+        return self.add_keyed(keyed(lines))
+
+    def add_keyed(self, known: DataFrame) -> dict:
+        """Take in a batch of ``(line_id, key)``."""
         old = self.table.manifest()
         meta = dict(old["meta"])
-        held, buckets = meta.get("held", {}), meta.get("buckets") or max(16, shuffle_partitions(self.spark))
-        known = lines.where("line is not null and line_id is not null").select(F.col("line_id").cast("long"), line_key(F.col("line")).alias("key"))
-        batch = known.groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int").alias("bucket"), "key").agg(F.count("*").alias("n"), F.min("line_id").alias("first_id"))
-        if held:
-            touched = [r[0] for r in batch.select("bucket").distinct().collect()]  # at most as many as there are buckets
-            before = self._read([held[str(b)] for b in touched if str(b) in held])
-            both = before.join(batch, ["bucket", "key"], "full_outer")
-            batch = both.select("bucket", "key", (F.coalesce("lines", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("lines"), F.least("keep_id", "first_id").alias("keep_id"))
+        held, records, buckets = meta.get("held", {}), meta.get("records", 0), meta.get("buckets", 0)
+        batch = written(known.groupBy("key").agg(F.count("*").alias("n"), F.min("line_id").alias("first_id")), "ledger-batch")
+        fits = power_of_two(max(shuffle_partitions(self.spark), -(-(records + batch.count()) // self.bucket_rows)))
+        if fits > buckets:  # buckets split: all are written again
+            before, kept, buckets = [f for f, _ in held.values()], {}, fits
         else:
-            batch = batch.toDF("bucket", "key", "lines", "keep_id")
+            touched = {str(r[0]) for r in batch.select(_bucket(buckets)).distinct().collect()}  # at most as many as there are buckets
+            before, kept = [held[b][0] for b in touched if b in held], {b: f for b, f in held.items() if b not in touched}
+        both = self._read(before).join(batch, "key", "full_outer")
+        merged = both.select("key", (F.coalesce("lines", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("lines"), F.least("keep_id", "first_id").alias("keep_id"))
         folder = self.table.new_folder()
-        batch.repartitionById(buckets, F.col("bucket")).withColumn("b", F.col("bucket")).write.partitionBy("b").parquet(f"{self.table.root}/{folder}")
-        at = self.table._path(f"{self.table.root}/{folder}")
-        names = [s.getPath().getName() for s in self.table._fs.listStatus(at) if s.isDirectory()]
-        meta |= {"buckets": buckets, "held": held | {n[2:]: f"{folder}/{n}" for n in names if n.startswith("b=")}}
-        return self.table.publish(sorted({f.split("/")[0] for f in meta["held"].values()}), meta, expect=old["version"])
+        self.table.write(merged.withColumn("b", _bucket(buckets)).repartitionById(buckets, F.col("b")), folder, by="b")
+        counts = {str(b): n for b, n in self.table.read([folder], _WRITTEN).groupBy("b").count().collect()}  # one row per bucket
+        held = kept | {b: [f, counts.get(b, 0)] for b, f in self.table.folders_by(folder).items()}
+        meta |= {"buckets": buckets, "held": held, "records": sum(n for _, n in held.values())}
+        return self.table.publish(sorted({f.split("/")[0] for f, _ in held.values()}), meta, expect=old["version"])
 
     def copies(self, lines: DataFrame) -> DataFrame:
         """``(keep_id, line_id)`` for every line that isn't the earliest of its record."""
+        return self.copies_keyed(keyed(lines))
+
+    def copies_keyed(self, known: DataFrame) -> DataFrame:
         several = self.rows().where("lines > 1")
         total = several.agg(F.coalesce(F.sum("lines"), F.lit(0))).first()[0]
-        keyed = lines.where("line is not null and line_id is not null").select(F.col("line_id").cast("long"), line_key(F.col("line")).alias("key"))
-        return join_unique(keyed, several, "key", "lines", total).where("line_id <> keep_id").select("keep_id", "line_id")
+        return join_unique(known, several, "key", "lines", total).where("line_id <> keep_id").select("keep_id", "line_id")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from catalens.llm import leaks, line_ledger, lookalike, mixing, pii, term_counts, term_weight
-from catalens.session import run_dir
+from catalens.plans.pipeline import in_order
+from catalens.session import run_dir, written
 from catalens.sources.tables import table
 
 
@@ -33,17 +34,18 @@ def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonical(table(spark, d, "fs_entries")).select("entry_id", "c_volume", "c_path")
 
 
-def _ledger(spark: SparkSession, d: str, batches: int = 1) -> tuple[line_ledger.LineLedger, DataFrame]:
-    lines = table(spark, d, "entry_lines")
+def _ledger(spark: SparkSession, d: str, batches: int = 3) -> tuple[line_ledger.LineLedger, DataFrame]:
+    """The ledger after the lines came in some batches, each joined to what the ledger holds, and the lines' keys."""
+    keys = written(line_ledger.keyed(table(spark, d, "entry_lines")), "keys")
     ledger = line_ledger.LineLedger(spark, run_dir(spark, "p5"))
-    for i in range(batches):
-        ledger.add(lines.where(f"pmod(line_id, {batches}) = {i}") if batches > 1 else lines)
-    return ledger, lines
+    for part in in_order(keys, "line_id", batches):
+        ledger.add_keyed(part)
+    return ledger, keys
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    ledger, lines = _ledger(spark, d)
-    return ledger.copies(lines)
+    ledger, keys = _ledger(spark, d)
+    return ledger.copies_keyed(keys)
 
 
 def p5_records(spark: SparkSession, d: str) -> DataFrame:
@@ -51,8 +53,8 @@ def p5_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_batches(spark: SparkSession, d: str) -> DataFrame:
-    """The records after three batches, each joined to what the ledger holds."""
-    return _ledger(spark, d, 3)[0].rows().select("key", "lines", "keep_id")
+    """The same of five batches."""
+    return _ledger(spark, d, 5)[0].rows().select("key", "lines", "keep_id")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

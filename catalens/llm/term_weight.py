@@ -4,8 +4,8 @@
 spread over the records that hold it, N the number of records that hold any term. A term in one record only has H = 0 and
 keeps its local weight, one spread evenly over all records gets 0. For one record in all (ln N = 0) the second factor is 1.
 
-Two SQL aggregations compute it: occurrences to (term, record) and (term, record) to term. The first result is written to
-the shared folder, so the log is read once. Terms in most records are hot keys: both aggregations combine before they
+Two SQL aggregations compute it: occurrences to (term, record) and (term, record) to term. Both results are written
+to the shared folder, so that neither is computed twice. Terms in most records are hot keys: both aggregations combine before they
 shuffle, and the join of the term figures to their rows goes by :func:`join_unique`.
 
 Null and empty terms and rows without record are ignored; a null position counts as one position; repeated rows count
@@ -14,6 +14,8 @@ once. An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,16 +32,34 @@ FROM {local} GROUP BY term
 """
 
 
-def term_weights(postings: DataFrame) -> DataFrame:
-    """``(entry_id, term, tf, df, gf, weight)``, one row for each term of each record."""
-    spark = postings.sparkSession
-    local = written(spark.sql(_LOCAL, postings=postings.select("term", "entry_id", "pos")), "term-local")
-    records, total = local.agg(F.count_distinct("entry_id"), F.count("*")).first()
-    terms = spark.sql(_GLOBAL, local=local)
+def _local(postings: DataFrame) -> DataFrame:
+    return written(postings.sparkSession.sql(_LOCAL, postings=postings.select("term", "entry_id", "pos")), "term-local")
+
+
+def _size(local: DataFrame) -> tuple[int, int]:
+    """Records and rows."""
+    return tuple(local.agg(F.count_distinct("entry_id"), F.count("*")).first())
+
+
+def _weighted(local: DataFrame, records: int, total: int) -> DataFrame:
+    terms = written(local.sparkSession.sql(_GLOBAL, local=local), "term-global")
     spread = F.lit(1.0) if records < 2 else F.lit(1.0) - F.col("entropy") / F.log(F.lit(float(records)))
     return join_unique(local, terms, "term", "df", total).select("entry_id", "term", "tf", "df", "gf", (F.log2(F.lit(1.0) + F.col("tf")) * spread).alias("weight"))
 
 
+def term_weights(postings: DataFrame) -> DataFrame:
+    """``(entry_id, term, tf, df, gf, weight)``, one row for each term of each record."""
+    local = _local(postings)
+    return _weighted(local, *_size(local))
+
+
 def distinctive(postings: DataFrame, least_tf: int = 3, least_df: int = 2, most_df: int = 20) -> DataFrame:
-    """The scored terms that are frequent in their record and shared by few records."""
-    return term_weights(postings).where((F.col("tf") >= least_tf) & F.col("df").between(least_df, most_df))
+    """The terms that are characteristic of their record, by their weight: at least that of a term which occurs ``least_tf``
+    times there and is spread evenly over ``most_df`` records. Weights rise with tf and fall with the spread, so no term that
+    keeps both bounds is below; a term that makes up for one by the other is told apart by an exact check of the counts."""
+    local = _local(postings)
+    records, total = _size(local)
+    spread = math.log(most_df) / math.log(records) if records > 1 else 0.0
+    least = math.log2(1 + least_tf) * (1 - spread) - 1e-9
+    chosen = _weighted(local, records, total).where(F.col("weight") >= least)
+    return chosen.where((F.col("tf") >= least_tf) & F.col("df").between(least_df, most_df))

@@ -123,3 +123,24 @@ def test_ledger_query_in_batches(spark):
     d = "/root/testdata/sf0.001"
     duckdb_rows = duckdb.connect().execute(queries.SQL["p5_batches"].replace("FROM entry_lines", f"FROM '{d}/entry_lines.parquet'")).fetchall()
     assert rows(queries.QUERIES["p5_batches"](spark, d)) == sorted(duckdb_rows, key=repr)
+
+
+def test_ledger_buckets_follow_the_records(spark):
+    """One line first, then many: buckets split, counts are kept."""
+    df = spark.range(12_000).selectExpr("id as line_id", "concat('path: /p/', id % 6000, '; volume: v; kind: f') as line")
+    ledger = line_ledger.LineLedger(spark, run_dir(spark, "ledger"), bucket_rows=500)
+    assert ledger.add(df.where("line_id = 7"))["meta"]["buckets"] == 4
+    two = ledger.add(df.where("line_id <> 7"))["meta"]
+    assert two["buckets"] == 16 and two["records"] == 6000 and max(n for _, n in two["held"].values()) < 600
+    assert ledger.rows().where("lines = 2 and keep_id < 6000").count() == 6000
+    three = ledger.add(spark.createDataFrame([(99_999, "path: /P/7; volume: v; kind: f")], "line_id long, line string"))["meta"]
+    assert sum(three["held"][b] != f for b, f in two["held"].items()) == 1 and ledger.rows().where("lines = 3").first().keep_id == 7
+
+
+def test_weights_choose_the_terms(spark):
+    """The plan of the selection holds the weight, and its bound loses no term that keeps the counts."""
+    data = [("a", i, p, 0) for i in range(20) for p in range(3)] + [("b", i, p, 0) for i in range(21) for p in range(9)] + [("c", 1, p, 0) for p in range(2)] + [("c", 2, 0, 0), ("d", 3, 0, 0), *[(f"u{k}", k, 0, 0) for k in range(60)]]
+    df = spark.createDataFrame(data, "term string, entry_id long, pos int, segment_no int")
+    got = term_weight.distinctive(df)
+    assert sorted({r.term for r in got.collect()}) == ["a"] and got.count() == 20
+    assert "LOG2" in got._jdf.queryExecution().optimizedPlan().toString().upper()
