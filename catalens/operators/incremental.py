@@ -6,7 +6,8 @@ publishes the next version of the target with one manifest. A run that fails bef
 the next run finds the same rows again; a run that is repeated after publishing finds none.
 
 For an op log whose past runs are only known from a run log, :func:`taken_in` gives the rows that successful runs took in;
-they are the target's first version.
+they are the target's first version. There the key is the op's seq and the version its last_modified, so that a record
+that changed since it was taken in would come out again.
 
 Hot keys: keys are made distinct by a partial aggregate before the join, so a key with a third of all rows is one row.
 Nulls: rows without key can't be recognised again and are left out. Empty source or target: no rows / all rows.
@@ -27,6 +28,8 @@ from catalens.session import BROADCAST_ROWS
 from catalens.sources.versioned import VersionedTable
 
 TARGET_SCHEMA = T.StructType([T.StructField("source_key", T.LongType()), T.StructField("source_version", T.LongType())])
+#: Folders of a target after which they are merged; so a run reads at most that many rows of a key.
+MOST_FOLDERS = 16
 _NEVER = np.iinfo(np.int64).min
 
 
@@ -54,7 +57,7 @@ def cover(lo: np.ndarray, hi: np.ndarray, started: np.ndarray) -> tuple[np.ndarr
 
 
 def taken_in(ops: DataFrame, runs: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """The seq of every op row that some successful run took in: the run started at or after the row's arrival, and its
+    """``seq`` and ``last_modified`` of every op row that some successful run took in: the run started at or after the row's arrival, and its
     window (lo, hi] holds the row's seq (basis ``seq``) or last_modified (basis ``mtime``).
 
     Of the runs that cover a point only the latest start matters, so each basis becomes a step function of at most two
@@ -79,9 +82,9 @@ def taken_in(ops: DataFrame, runs: DataFrame, bound: int = BROADCAST_ROWS) -> Da
                     x = b[column].fillna(0).to_numpy(np.int64)
                     at = np.searchsorted(ends, x, side="left")
                     hit |= known & (at < len(ends)) & (np.append(value, _NEVER)[at] >= b["arrived"].to_numpy(np.int64))
-            yield b.loc[hit, ["seq"]]
+            yield b.loc[hit, ["seq", "last_modified"]]
 
-    return rows.mapInPandas(look, "seq long")
+    return rows.mapInPandas(look, "seq long, last_modified long")
 
 
 def _taken_in_joined(rows: DataFrame, good: DataFrame) -> DataFrame:
@@ -98,10 +101,10 @@ def _taken_in_joined(rows: DataFrame, good: DataFrame) -> DataFrame:
         whole = spans.where("z - a > 1").groupBy("a", "z").agg(F.max("started").alias("started"))
         whole = whole.select(F.explode(F.sequence(F.col("a") + 1, F.col("z") - 1)).alias("b"), "started").groupBy("b").agg(F.max("started").alias("w_started"))
         part = spans.select(F.explode(F.array_distinct(F.array("a", "z"))).alias("p"), "lo", "hi", "started")
-        mine = rows.where(F.col(column).isNotNull()).select("seq", F.col(column).alias("x"), "arrived", place(F.col(column)).alias("b"))
+        mine = rows.where(F.col(column).isNotNull()).select("seq", "last_modified", F.col(column).alias("x"), "arrived", place(F.col(column)).alias("b"))
         full = mine.join(F.broadcast(whole), "b").where("w_started >= arrived")  # at most 513 rows
         some = mine.join(part, (F.col("b") == F.col("p")) & (F.col("lo") < F.col("x")) & (F.col("x") <= F.col("hi")) & (F.col("started") >= F.col("arrived")), "left_semi")
-        out += [full.select("seq"), some.select("seq")]
+        out += [full.select("seq", "last_modified"), some.select("seq", "last_modified")]
     result = out[0]
     for more in out[1:]:
         result = result.unionByName(more)
@@ -121,16 +124,24 @@ class IncrementalTarget:
         """Keys and versions of the source that the target doesn't hold in that version or a newer one. Of repeated
         source rows with one key the newest version counts."""
         mine = source.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("source_key")).agg(F.max(F.col(version).cast("long")).alias("source_version"))
-        held = self.rows().groupBy(F.col("source_key").alias("t_key")).agg(F.max("source_version").alias("t_version"))
+        held = self.rows().select(F.col("source_key").alias("t_key"), F.col("source_version").alias("t_version"))
         seen = (F.col("source_key") == F.col("t_key")) & (F.coalesce("t_version", F.lit(_NEVER)) >= F.coalesce("source_version", F.lit(_NEVER)))
         return mine.join(held, seen, "left_anti")
 
     def take_in(self, rows: DataFrame) -> DataFrame:
         """Write the rows (``source_key``, ``source_version``) and publish them with all earlier ones as the next version;
-        gives the rows as published."""
+        gives the rows as published. When the earlier ones are in ``MOST_FOLDERS`` folders, these become one with the newest
+        version of each key, in the same publication."""
         old, folder = self.table.manifest(), self.table.new_folder()
-        rows.select("source_key", "source_version").write.parquet(f"{self.table.root}/{folder}")
-        self.table.publish([*old["folders"], folder], {"rows_of": folder}, expect=old["version"])
+        self.table.write(rows.select("source_key", "source_version"), folder)
+        before = old["folders"]
+        if len(before) >= MOST_FOLDERS:
+            merged = self.table.new_folder()
+            newest = self.table.read(before, TARGET_SCHEMA).groupBy("source_key").agg(F.max("source_version").alias("source_version"))
+            self.table.write(newest, merged)
+            before = [merged]
+        self.table.publish([*before, folder], {"rows_of": folder}, expect=old["version"])
+        self.table.vacuum()
         return self.table.read([folder], TARGET_SCHEMA)
 
     def run(self, source: DataFrame, key: str, version: str) -> DataFrame:

@@ -42,9 +42,18 @@ def p1_current(spark: SparkSession, d: str) -> DataFrame:
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     ops = table(spark, d, "fs_oplog")
     target = IncrementalTarget(spark, run_dir(spark, "p6"))
-    done = taken_in(ops, table(spark, d, "index_runs")).selectExpr("seq AS source_key", "seq AS source_version").distinct()
-    target.take_in(done)
-    return target.run(ops, "seq", "seq").selectExpr("source_key AS seq")
+    done = taken_in(ops, table(spark, d, "index_runs"))
+    target.take_in(done.groupBy(F.col("seq").alias("source_key")).agg(F.max("last_modified").alias("source_version")))
+    return target.run(ops, "seq", "last_modified").selectExpr("source_key AS seq")
+
+
+def p6_changed(spark: SparkSession, d: str) -> DataFrame:
+    """Rulings that are new or have a newer version, after a run over the first versions, and one that failed."""
+    docs = table(spark, d, "documents")
+    target = IncrementalTarget(spark, run_dir(spark, "p6"))
+    target.run(docs.where("version_no = 1"), "ruling_id", "version_no")
+    target.new(docs, "ruling_id", "version_no").write.parquet(f"{target.table.root}/{target.table.new_folder()}")  # never published
+    return target.run(docs, "ruling_id", "version_no").selectExpr("source_key AS ruling_id", "source_version AS version_no")
 
 
 _TAKEN = """
@@ -54,9 +63,10 @@ taken AS (SELECT DISTINCT o.seq FROM fs_oplog o JOIN good g ON g.started_at >= o
           AND g.lo < CASE g.basis WHEN 'seq' THEN o.seq ELSE o.last_modified END AND CASE g.basis WHEN 'seq' THEN o.seq ELSE o.last_modified END <= g.hi)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_current": p1_current, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p1_current": p1_current, "p6_found": p6_found, "p6_changed": p6_changed}
 SQL = {
     "p1_found": LIVE + "SELECT path, seq FROM live",
     "p1_current": LIVE + "SELECT path, volume, kind, last_modified, last_accessed, category, volume_type, seq FROM live",
+    "p6_changed": "SELECT ruling_id, CAST(max(version_no) AS BIGINT) AS version_no FROM documents WHERE ruling_id IS NOT NULL GROUP BY ruling_id HAVING max(version_no) > 1 OR min(version_no) > 1",
     "p6_found": _TAKEN + "SELECT DISTINCT seq FROM fs_oplog WHERE seq NOT IN (SELECT seq FROM taken)",
 }

@@ -271,3 +271,6 @@ def test_incremental_runs(spark):
     assert target.table.manifest() == before
     assert rows(target.run(more, "k", "v")) == [(2, 2), (5, 1)]
     assert target.run(source.where("false"), "k", "v").count() == 0
+    for k in range(16):  # folders are merged meanwhile
+        assert rows(target.run(more.withColumn("v", F.lit(10 + k)), "k", "v")) == [(i, 10 + k) for i in (1, 2, 4, 5)]
+    assert len(target.table.manifest()["folders"]) < 10 and target.run(more, "k", "v").count() == 0
