@@ -34,6 +34,10 @@ def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonical(table(spark, d, "fs_entries")).select("entry_id", "c_volume", "c_path")
 
 
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.members(table(spark, d, "fs_entries"))
+
+
 def _ledger(spark: SparkSession, d: str, batches: int = 3) -> tuple[line_ledger.LineLedger, DataFrame]:
     """The ledger after the lines came in some batches, each joined to what the ledger holds, and the lines' keys."""
     keys = written(line_ledger.keyed(table(spark, d, "entry_lines")), "keys")
@@ -98,8 +102,14 @@ _KEYS += "g AS (SELECT key, count(*) AS lines, min(line_id) AS keep_id FROM k GR
 
 _RUNS = "SELECT {0}, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS run FROM (SELECT {0}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM {1} WHERE text IS NOT NULL)"
 
-QUERIES = {"p2_found": p2_found, "p2_weights": p2_weights, "p3_found": p3_found, "p3_counts": p3_counts, "p4_found": p4_found, "p4_canonical": p4_canonical, "p5_found": p5_found, "p5_records": p5_records, "p5_batches": p5_batches, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_masked": p9_masked}
+_SHOWN = "MAP {" + ", ".join(f"'{c}': " + "'" + v.replace("'", "''") + "'" for c, v in lookalike.shown_as().items()) + "}"
+_LOOK = "nfc_normalize(list_reduce(list_transform(string_split(concat(volume, '/', path), ''), lambda c: coalesce(m[c], c)), lambda a, b: a || b))"
+_LOOKS = f"WITH shown AS (SELECT {_SHOWN} AS m), l AS (SELECT entry_id, concat(volume, '/', path) AS text, {_LOOK} AS look FROM fs_entries, shown)\n"
+
+QUERIES = {"p2_found": p2_found, "p2_weights": p2_weights, "p3_found": p3_found, "p3_counts": p3_counts, "p4_found": p4_found, "p4_canonical": p4_canonical, "p4_classes": p4_classes, "p5_found": p5_found, "p5_records": p5_records, "p5_batches": p5_batches, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_masked": p9_masked}
 SQL = {
+    "p4_found": _LOOKS + "SELECT a.entry_id AS entry_id_a, b.entry_id AS entry_id_b FROM l a JOIN l b ON a.look = b.look AND a.text <> b.text AND a.entry_id < b.entry_id",
+    "p4_classes": _LOOKS + ", c AS (SELECT look, min(entry_id) AS class_id, count(DISTINCT text) AS spellings FROM l GROUP BY look HAVING count(DISTINCT text) > 1) SELECT entry_id, class_id, spellings FROM l JOIN c USING (look)",
     "p2_found": _TF + "SELECT entry_id, term FROM tf JOIN t USING (term) WHERE tf >= 3 AND df BETWEEN 2 AND 20",
     "p2_weights": _TF + "SELECT entry_id, term, tf, df, gf, log2(1 + tf) * (1 - h / ln(n)) AS weight FROM tf JOIN t USING (term), n",
     "p3_found": _COUNTS + "SELECT term, mark FROM c WHERE mark IS NOT NULL",

@@ -58,6 +58,7 @@ def test_one_form_for_all_spellings_of_a_look(spark):
     df = spark.createDataFrame([(i, f"/{w}/x", "v") for i, w in enumerate(ops + css)], SCHEMA)
     got = {r.entry_id: r.c_path for r in K.canonical(df).collect()}
     assert {got[i] for i in range(5)} == {"/ops/x"} and {got[i] for i in (5, 6, 8)} == {"/css/x"} and got[7] == "/ѕѕс/x"
+    assert rows(K.members(df)) == sorted([*[(i, 0, 5) for i in range(5)], *[(i, 5, 3) for i in (5, 6, 8)]], key=repr)
     want = [(a, b) for g in ([0, 1, 2, 3, 4], [5, 6, 8]) for a in g for b in g if a < b]
     assert rows(K.same_looking(df)) == sorted(want, key=repr)
 
@@ -69,3 +70,28 @@ def test_words_of_two_scripts_joined(spark):
     assert [got[i] for i in (0, 1, 2, 3)] == [f"/{words[i]}/x" for i in (0, 0, 2, 2)] and got[7] == f"/{words[7]}/x"
     assert got[4] == got[5] == got[6] == "/базаscan/x" and got[8] == got[9] == "/ガイドnorth/x"
     assert rows(K.same_looking(df)) == sorted([(0, 1), (2, 3), (4, 5), (4, 6), (5, 6), (8, 9)], key=repr)
+
+
+def test_words_of_one_script_stay_where_nothing_else_is_written(spark):
+    data = [(1, "/договор с клиентом", "v"), (2, "/a/c", "v"), (3, "/c/е", "v"), (4, "/отчёт/c/дом", "w"), (5, "/отчёт/с/дом", "w"), (6, "/сор", "v"), (7, "/cop", "v"), (8, "/cop", "v")]
+    got = {r.entry_id: r.c_path for r in K.canonical(spark.createDataFrame(data, SCHEMA)).collect()}
+    assert got[1] == "/договор с клиентом" and got[3] == "/c/е" and got[6] == got[7] == got[8] == "/cop"
+    assert got[4] == got[5] == "/отчёт/с/дом"
+
+
+def test_repairs_of_any_number(spark, entries):
+    """Sent to all tasks or joined."""
+    a, b = K.classes(entries), K.classes(entries, sent=0)
+    assert rows(a.rows) == rows(b.rows) and rows(a.several) == rows(b.several) and rows(a.rest) == rows(b.rest)
+
+
+def test_queries_meet_their_sql(spark):
+    import duckdb
+
+    from catalens.llm import queries
+
+    d = "/root/testdata/sf0.001"
+    for name in ("p4_found", "p4_classes"):
+        df = queries.QUERIES[name](spark, d)
+        sql = queries.SQL[name].replace("FROM fs_entries", f"FROM '{d}/fs_entries.parquet'")
+        assert rows(df) == sorted(duckdb.connect().execute(sql).fetchall(), key=repr) and df.count()
