@@ -22,6 +22,7 @@ length are decoded in time linear in their length.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -34,47 +35,68 @@ KINDS = ("name", "email", "phone", "id_number", "address")
 PLACEHOLDER = {"name": "[NAME]", "email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]"}
 MOST_TOKENS = 9
 
-# Word lists of the features, in lower case.
-TITLES = "mr mrs ms miss dr prof judge justice herr frau richter richterin rechtsanwalt rechtsanwältin m mme mlle me maître juge sir lady lord"
-FIRMS = "ltd llp plc gmbh ag sa co-operative inc corp co kg sarl holdings sons shipping freight logistics foundry quarries timber textiles optics dairies partners group bank trust company & et"
-LEGAL = "act acts rules rule rep reports court courts tribunal chamber chambre section case code regulation regulations ordinance order article règlement cour landgericht amtsgericht oberlandesgericht kammer hafenordnung gesetz registrar v vs"
-PARTICLES = "van von de der den di du da la le del dos ten ter zu"
-STREET_AFTER = "road lane street close row walk terrace avenue hill crescent place square way drive gardens mews quay green gate parade rise grove yard court view park wharf bank end"
-STREET_BEFORE = "rue avenue quai chemin impasse place boulevard allée cours route passage ruelle sentier square"
-STREET_TAIL = ("straße", "strasse", "gasse", "allee", "weg", "ring", "platz", "ufer", "damm", "steig", "markt", "gate", "chaussee", "pfad", "graben")
+# Word lists of the features, in lower case: general vocabulary of English, German and French.
+TITLES = "mr mrs ms miss mx dr prof professor judge justice sir lady lord dame advocate notary herr frau richter richterin rechtsanwalt rechtsanwältin notar notarin m mme mlle me monsieur madame maître juge"
+FIRMS = "ltd limited llp lp plc inc incorporated corp corporation co company companies gmbh ag kg kgaa ohg ug se sa sas sarl sàrl snc cie bv nv oy ab as aps spa srl co-operative cooperative genossenschaft coopérative holding holdings group gruppe groupe partners sons söhne fils bank banque trust foundation stiftung & et"
+LEGAL = "act acts rules rule regulation regulations order ordinance statute code directive charter treaty court courts tribunal chamber chambers section article case law reports rep gericht landgericht amtsgericht oberlandesgericht arbeitsgericht verwaltungsgericht kammer senat gesetz verordnung cour chambre conseil loi règlement arrêté v vs"
+PARTICLES = "van von de der den di du da dos la le del della ten ter zu af av bin ibn al el"
+STREET_AFTER = "road lane street close row walk terrace avenue hill crescent place square way drive gardens mews quay green gate parade rise grove yard court view park wharf boulevard alley circus"
+STREET_BEFORE = "rue avenue quai chemin impasse place boulevard allée cours route passage ruelle sentier square faubourg esplanade"
+STREET_TAIL = ("straße", "strasse", "str.", "gasse", "allee", "weg", "ring", "platz", "ufer", "damm", "steig", "markt", "gate", "chaussee", "pfad", "graben", "stieg", "zeile")
 MONTHS = "january february march april may june july august september october november december januar februar märz mai juni juli oktober dezember janvier février mars avril juin juillet août septembre octobre novembre décembre"
-ID_WORDS = r"passport|identity|\bid\b|licen[cs]e|tax|insurance record|social|ausweis|reisepass|pass-nr|führerschein|steuer|sozialversicherung|identité|passeport|permis|fiscal|sécurité|ahv|national number"
-OTHER_WORDS = r"account|konto|compte|\blot\b|consignment|folio|invoice|rechnung|facture|container|conteneur|meter|mètre|sum|crowns|case|docket|\baz\b|\brg\b|exhibit|anlage|pièce|section|rule|page|berth|\brn\b|ziffer|considérant|paragraph|article|betrag|somme|§|abs|degrees|percent|prozent|kisten|crates|tage|jours"
-PHONE_WORDS = r"\btel|tél|call|dial|mobile|landline|phone|reached|erreich|\bunter\b|joignable|telefon|handy|rückruf|fax|number of|mobil|portable"
-NAME_WORDS = r"witness|zeug|témoin|before|present|contact|claimant|defendant|signed|between|evidence|names|owner|surety|per|selon|angaben|herr|frau|according|register|neither|relates|gehört|celui|présenté|to|let|lived|cross|kläger|demandeur|klag"
-PLACE_WORDS = r"barge|ship|vessel|town|schiff|bateau|navire|harbour|port|village|in|the|of"
+ID_WORDS = r"passport|identity|\bid\b|licen[cs]e|\btax|insurance (?:no|number|record)|social|\bssn\b|national (?:no|number|insurance)|ausweis|reisepass|\bpass\b|pass-?n[ru]|führerschein|steuer|sozialversicherung|rentenversicherung|versicherten|identité|passeport|permis|fiscal|sécurité|assuré|\bahv\b|\bnir\b"
+OTHER_WORDS = r"account|konto|compte|\biban\b|\blots?\b|batch|charge|shipment|consignment|sendung|colis|parcel|order|bestell|commande|contract|vertrag|contrat|policy|police|folio|grundbuch|invoice|rechnung|facture|receipt|quittung|container|conteneur|meter|mètre|kilo|\bkm\b|\bsum|amount|price|betrag|preis|somme|montant|euro|dollar|pound|franc|kron|crown|couronne|case|docket|register|aktenzeichen|\baz\b|\brg\b|exhibit|anlage|annexe|pièce|section|rule|article|artikel|page|seite|\brn\b|randn|ziffer|considérant|paragraph|§|\babs|degree|grad|percent|prozent|pour cent|days|tage|jours|months|monat|mois"
+PHONE_WORDS = r"\btel|tél|\bcall|dial|mobile|landline|phone|\brang|\bring|reached|reachable|erreich|joignable|handy|rückruf|anruf|appel[eé]|\bfax|mobil|portable|durchwahl"
+NEAR_NAMES = "by for to with between against from von für mit gegen durch an par pour avec contre entre à and und et or oder ou that dass que"
+PEOPLE = r"witness|zeug|témoin|signed|gez|signé|claimant|plaintiff|applicant|petitioner|appellant|respondent|defendant|kläger|beklagte|antragsteller|demande|défende|requérant|appelant|intimé|owner|tenant|buyer|seller|eigentümer|mieter|käufer|verkäufer|propriétaire|locataire|counsel|solicitor|anwalt|anwältin|avocat|son|daughter|wife|husband|sohn|tochter|fils|fille|épou|before|present|contact|according|angaben|selon"
+PLACE_WORDS = r"ship|vessel|boat|yacht|ferry|schiff|fähre|bateau|navire|town|city|village|port|harbour|stadt|gemeinde|hafen|ville|commune|in|at|near|the|of|im|der|die|das|dans|le|la|les"
+CURRENCIES = r"euros?|dollars?|pounds?|francs?|franken|crowns|kronen|couronnes|eur|usd|gbp|chf"
+ROLES = r"claimant|plaintiff|applicant|petitioner|appellant|respondent|defendant|kläger(?:in)?|beklagter?|antragsteller(?:in)?|antragsgegner(?:in)?|demandeur|demanderesse|défendeur|défenderesse|requérante?|appelante?|intimée?"
+OFFICES = r"registrar|clerk|judge|president|secretary|greffière?|juge|présidente?|richter(?:in)?|vorsitzende[r]?|urkundsbeamt\w+|sitting"
 
 _SETS = {
     "T": set(TITLES.split()), "C": set(FIRMS.split()), "L": set(LEGAL.split()), "P": set(PARTICLES.split()),
-    "S": set(STREET_AFTER.split()), "R": set(STREET_BEFORE.split()), "M": set(MONTHS.split()),
+    "near": set(NEAR_NAMES.split()), "S": set(STREET_AFTER.split()), "R": set(STREET_BEFORE.split()), "M": set(MONTHS.split()),
 }
-_UP, _LO = "A-ZÀ-ÖØ-ÞĆČĎĐĘĚĞİŁŃŇŐŒŘŚŞŠŤŮŰŸŹŻŽ", r"\w"
-_NUMBER = r"\+?(?:\(0+\)|0+)(?:[./-]?(?:\(0+\)|0+))*(?:[A-Za-z](?![\w]))?"
+
+
+def _ranges(chars: list[str]) -> str:
+    """Characters as the inside of a character class."""
+    out, at = [], 0
+    while at < len(chars):
+        z = at
+        while z + 1 < len(chars) and ord(chars[z + 1]) == ord(chars[z]) + 1:
+            z += 1
+        out.append(chars[at] if z == at else f"{chars[at]}-{chars[z]}")
+        at = z + 1
+    return "".join(out)
+
+
+#: The capitals of all scripts that have them.
+_UP, _LO = _ranges([c for c in map(chr, range(0x10000)) if unicodedata.category(c) == "Lu"]), r"\w"
+_NUMBER = r"\+?(?:\(0{1,6}\)|0+)(?:[./-]?(?:\(0{1,6}\)|0+))*(?:[A-Za-z](?![\w]))?"
 _MAIL = r"[A-Za-z0-9](?:[\w.+'-]*\w)? ?(?:@|\(at\)|\[at\]|\{at\}|(?<= )AT(?= )) ?\w[\w-]*(?:(?:\.| ?\(dot\) ?|\[dot\]| DOT )\w[\w-]*)+"
-_WORD = rf"[{_UP}](?:\.(?:-?[{_UP}]\.)*|[{_LO}]*(?:['’-][{_LO}]+)*)"
-_SMALL = r"(?:van|von|de|der|den|di|du|da|des|la|le|les|l['’]|d['’]|del|ten|ter|zu|rue|avenue|quai|chemin|impasse|place|boulevard|allée|cours|route|passage|ruelle|bis|quater)(?![\w])"
+_WORD = rf"[{_UP}](?:\.(?:-?[{_UP}]\.)*|[{_LO}]*(?:['’-][{_LO}]+)*(?:(?<=[Ss]tr)\.)?)"
+_SMALL = r"(?:van|von|de|der|den|di|du|da|dos|des|la|le|les|l['’]|d['’]|della|del|ten|ter|zu|af|av|bin|ibn|al|el|rue|avenue|quai|chemin|impasse|place|boulevard|allée|cours|route|passage|ruelle|sentier|square|faubourg|esplanade|bis|quater)(?![\w])"
 _SEPARATOR = r"(?:, ?|[ \u00a0\u202f](?:\((?!0+\)))?|(?<=['’]))"
 _MORE = rf"(?:{_SEPARATOR}(?:{_NUMBER}|{_WORD}|{_SMALL}|&))"
-_GROUPS = r"(?:[./-]?(?:\(0+\)|0+))*(?:[A-Za-z](?!\w))?"
+_GROUPS = r"(?:[./-]?(?:\(0{1,6}\)|0+))*(?:[A-Za-z](?!\w))?"
 # The first character is a class of its own, so that the search skips all others; then two words at least, or a
 # number.
 _CHUNK = re.compile(
     rf"[{_UP}0+(vd](?<![\w*].)(?:"
-    rf"(?<=[{_UP}])[A-Z]{{0,2}}0\w*+{_MORE}*|(?<=[{_UP}])(?:\.(?:-?[{_UP}]\.)*+|\w*+(?:['’-]\w++)*+){_MORE}+"
-    rf"|(?<=0)0*+{_GROUPS}{_MORE}*|(?<=\+)(?:\(0+\)|0+){_GROUPS}{_MORE}*|(?<=\()0+\){_GROUPS}{_MORE}*"
-    rf"|(?<=[vd])(?:an|on|er|en|e|i|u)(?!\w){_MORE}+)"
+    rf"(?<=[{_UP}])[A-Z]{{0,2}}0\w*+{_MORE}*|(?<=[{_UP}])(?:\.(?:-?[{_UP}]\.)*+|\w*+(?:['’-]\w++)*+(?:(?<=[Ss]tr)\.)?+){_MORE}+"
+    rf"|(?<=0)0*+{_GROUPS}{_MORE}*|(?<=\+)(?:\(0{{1,6}}\)|0+){_GROUPS}{_MORE}*|(?<=\()0{{1,6}}\){_GROUPS}{_MORE}*"
+    rf"|(?<=[vd])(?:an|on|er|en|os|e|i|u|a)(?!\w){_MORE}+)"
 )
 _MAIL_SIGN = re.compile(r"@|\(at\)|\[at\]|\{at\}| AT ")
 _MAIL_ONLY = re.compile(rf"(?<![\w*]){_MAIL}")
 _TOKEN = re.compile(rf"({_MAIL})|({_NUMBER})|({_WORD})|({_SMALL})|(&)")
 _CONTEXT = {"id": re.compile(ID_WORDS), "other": re.compile(OTHER_WORDS), "phone": re.compile(PHONE_WORDS)}
 _LAST_WORD = re.compile(r"([^\W\d_]+)[^\w]*$")
-_FRENCH = re.compile(r"titul|demeur| a été| a form| né|domic")
+#: What goes on in French after a name.
+_PEOPLE = re.compile(PEOPLE)
+_FRENCH = re.compile(r"\b(?:est|était|né|née|et|qui|que|le|la|les|du|des|demeur\w*|domicil\w*|titul\w*|soutien\w*|a \w+)")
 
 
 def word_class(word: str, given: frozenset[str]) -> str:
@@ -102,7 +124,7 @@ def word_class(word: str, given: frozenset[str]) -> str:
             return k
     if low in given:
         return "G"
-    if low in _SETS["R"] and not word[0].isupper():
+    if low in _SETS["R"] and (not word[0].isupper() or low not in _SETS["S"] and word.upper() != word):
         return "R"
     if low in _SETS["P"] or low in ("des", "les", "l'", "l’", "d'", "d’"):
         return "P" if not word[0].isupper() or word.isupper() and len(word) > 1 else "W"
@@ -120,9 +142,13 @@ def shape(text: str) -> str:
     return re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", text.replace("\u00a0", " ").replace("\u202f", " ")))
 
 
-_NAME = re.compile(r"(?:[GWA]|I)(?:I|J)?P{0,2}[WAG]|[GI][IJ]?P{0,2}[WAG]|P?[WAG],[GI]I?|[GI]I[GI]?[WAG]|P{1,2}[WAG],[GI]I?")
+#: Given names, initials, particles and family names, any number of each that a name may have; or the family name first.
+_NAME = re.compile(r"[GWAIJ][GWAIJ]{0,3}(?:P{0,3}[WAG]){1,2}|P{1,3}[WAG]{1,2},[GI][GIJW]{0,2}|[WAG]{1,2},[GI][GIJW]{0,2}")
 _DIGITS = re.compile(r"[NKABI]+")
-_ADDRESS = re.compile(r"NB?,?R[PSWAGKLC]*|NB?[SWGALC]{1,4}|[SWGA]{1,3}NB?")
+_ADDRESS = re.compile(r"NB?,?[RS][PSWAGKLC]*|NB?[SWGALC]{1,4}|[SWGA]{1,3}NB?")
+
+
+_HOUSE = re.compile(r"0{1,4}[A-Za-z]?(?:[-/]0{1,4}[a-z]?)?")
 
 
 def segments(tokens: list[tuple[int, int, str]], chunk: str) -> list[tuple[int, int, int]]:
@@ -150,7 +176,7 @@ def segments(tokens: list[tuple[int, int, str]], chunk: str) -> list[tuple[int,
                 out.append((i, j + 1, 3))
                 if text.strip("N") == "":
                     out.append((i, j + 1, 2))
-            if "N" in text and _ADDRESS.fullmatch(text):
+            if "N" in text and _ADDRESS.fullmatch(text) and all(_HOUSE.fullmatch(chunk, *tokens[x][:2]) for x in range(i, j + 1) if tokens[x][2] == "N"):
                 out.append((i, j + 1, 4))
     return out
 
@@ -176,7 +202,7 @@ def _word_kind(word: str, given: frozenset[str]) -> str:
     for k in "TCLPSRM":
         if word in _SETS[k]:
             return k
-    if re.fullmatch(NAME_WORDS + ".*", word):
+    if word in _SETS["near"] or _PEOPLE.match(word):
         return "n"
     return "p" if re.fullmatch(PLACE_WORDS, word) else "w"
 
@@ -200,7 +226,15 @@ def features(seg: tuple[int, int, int], tokens: list[tuple[int, int, str]], befo
         out += [f"{k}:c{classes}", f"{k}:p{prev_class if prev_gap == ' ' else '-'}", f"{k}:n{next_class if gap == ' ' else '-'}", f"{k}:w{_word_kind(word, given) if not i or prev_gap != ' ' else '='}"]
         known = any(tokens[x][2] in "GI" for x in range(i, j))
         out.append(f"{k}:known{known}:{prev_class if prev_gap == ' ' else '-'}{next_class if gap == ' ' else '-'}")
-        out.append(f"{k}:f{known}:{'role' if re.match(r' \((?:claim|resp|defen|appell)|, (?:appell|respon|kläg|klag|bekl|deman|défen|registrar)', follow.lower()) else '-'}")
+        out.append(f"{k}:f{known}:{'role' if _ROLE.match(follow.lower()) else '-'}")
+        first = next((x for x in range(i, j) if tokens[x][2] in "GI"), None)
+        out.append(f"{k}:lead{'-' if first is None else first - i}")
+        if first is not None and "," not in classes:
+            last = max(x for x in range(i, j) if tokens[x][2] in "GIJ")
+            out.append(f"{k}:family{j - 1 - last - sum(tokens[x][2] == 'P' for x in range(last, j))}:{next_class if gap == ' ' else '-'}")
+        out.append(f"{k}:firm{_FIRM.match(follow.lower()) is not None or next_class == 'C' and gap == ' '}:{known}")
+        if tokens[i][2] == "P":
+            out.append(f"{k}:particle{text[0].isupper()}{tokens[i + 1][2]}")
         if i and prev_gap != " " and "," in prev_gap and not known:
             out.append(f"{k}:commaprev")
         if "," in classes:
@@ -216,7 +250,7 @@ def features(seg: tuple[int, int, int], tokens: list[tuple[int, int, str]], befo
         digits = text.count("0")
         out += [f"{k}:near:{near}", f"{k}:s{s}", f"{k}:{near}:d{min(digits, 16)}", f"{k}:prev{prev_class if prev_gap in (' ', chr(160)) else '-'}", f"{k}:next{next_class if gap in (' ', chr(160)) else '-'}", f"{k}:plus{text[0] in '+(' or text.startswith('00')}:{near}"]
         out.append(f"{k}:{near}:more{(next_class in 'NKA' and gap in (' ', chr(160))) or (prev_class in 'NKA' and prev_gap in (' ', chr(160)))}")
-        out.append(f"{k}:money{bool(re.match(r'[.,]0| (?:crowns|kronen|couronnes)', follow.lower()))}")
+        out.append(f"{k}:money{bool(_MONEY.match(follow.lower()))}")
     else:
         number = next(chunk[tokens[x][0] : tokens[x][1]] for x in range(i, j) if tokens[x][2] == "N")
         plain = re.fullmatch(r"0{1,3}[a-z]?", number) is not None
@@ -224,13 +258,17 @@ def features(seg: tuple[int, int, int], tokens: list[tuple[int, int, str]], befo
         street = any(tokens[x][2] in "SR" for x in range(i, j))
         ends = tokens[j - 1][2] if order == "before" else tokens[j - 2][2]
         out += [f"{k}:{order}:plain{plain}", f"{k}:{order}:street{street}:{plain}", f"{k}:{order}:ends{ends}:{street}", f"{k}:{order}:next{next_class if gap == ' ' else '-'}", f"{k}:{order}:prev{prev_class if prev_gap == ' ' else '-'}", f"{k}:{order}:R{'R' in classes}"]
-        out += [f"{k}:{order}:w{word if word in ('at', 'of', 'nach', 'wohnhaft', 'being', 'demeurant', 'sis', 'address', 'in', 'house') else '-'}:{street}", f"{k}:month{'M' in classes or next_class == 'M' and gap == ' '}", f"{k}:{order}:legal{any(c in classes for c in 'LC')}:{street}", f"{k}:{order}:more{next_class in 'SW' and gap == ' '}:{street}"]
+        out += [f"{k}:{order}:w{word if word in _AT else '-'}:{street}", f"{k}:month{'M' in classes or next_class == 'M' and gap == ' '}", f"{k}:{order}:legal{any(c in classes for c in 'LC')}:{street}", f"{k}:{order}:more{next_class in 'SW' and gap == ' '}:{street}"]
     return out
 
 
 _MEANT = re.compile("|".join((ID_WORDS, OTHER_WORDS, PHONE_WORDS)))
-_KEPT = re.compile(rf"(?:{NAME_WORDS}).*|{PLACE_WORDS}|at|nach|wohnhaft|being|demeurant|sis|address|house")
-_FOLLOW = re.compile(r" \((?:claim|resp|defen|appell)|, (?:appell|respon|kläg|klag|bekl|deman|défen|registrar)|[.,]0| (?:crowns|kronen|couronnes)|.{0,4}?(?:titul|demeur| a été| a form| né|domic)", re.I)
+_AT = frozenset("at of from to nach in der wohnhaft bei demeurant au sis address adresse anschrift house".split())
+_KEPT = re.compile(rf"(?:{PEOPLE}).*|{PLACE_WORDS}|{'|'.join(sorted(_AT))}")
+_ROLE = re.compile(rf" \((?:{ROLES})|, (?:{ROLES}|{OFFICES})")
+_FIRM = re.compile(rf" (?:{'|'.join(w for w in FIRMS.split() if w[0] not in '&as' or len(w) > 2)})\b")
+_MONEY = re.compile(rf"[.,]0| (?:{CURRENCIES})\b")
+_FOLLOW = re.compile(rf" \((?:{ROLES})|, (?:{ROLES}|{OFFICES})|{_FIRM.pattern}|[.,]0| (?:{CURRENCIES})\b|.{{0,4}}?{_FRENCH.pattern}", re.I)
 
 
 class Words:
@@ -306,7 +344,9 @@ class Words:
         if m is None:
             return (near[0] + " " if near else "") + before.rstrip(" ")[-1:]
         word = m[1].lower()
-        return (near[0] + " - " if near and near.end() <= m.start() else "") + (self(word)[1] if word not in self.given else "w") * 1 + before[m.end(1) :]
+        if near and near.end() > m.start():
+            return near[0] + before[m.end(1) :]
+        return (near[0] + " - " if near else "") + (self(word)[1] if word not in self.given else "w") * 1 + before[m.end(1) :]
 
 
 def span(tokens: list[tuple[int, int, str]], seg: tuple[int, int, int], chunk: str) -> tuple[int, int]:
@@ -371,11 +411,12 @@ def chunks(flat: str) -> list[tuple[int, int]]:
     out = []
     signs = _MAIL_SIGN.finditer(flat) if any(x in flat for x in ("@", "(at)", "[at]", "{at}", " AT ")) else ()
     for m in signs:
-        a = max(0, m.start() - 100)
-        for x in _MAIL_ONLY.finditer(flat, a, m.end() + 300):
-            if x.start() <= m.start() < x.end():
-                if not out or x.start() >= out[-1][1]:
-                    out.append(x.span())
+        a = m.start() - (flat[m.start() - 1 : m.start()] == " ")
+        while a and (flat[a - 1].isalnum() or flat[a - 1] in "_.+'-"):
+            a -= 1
+        for k in range(max(a, out[-1][1] if out else 0), m.start()):
+            if (x := _MAIL_ONLY.match(flat, k)) and x.end() > m.start():
+                out.append(x.span())
                 break
     for a, z in out:
         flat = flat[:a] + "\0" * (z - a) + flat[z:]
@@ -434,16 +475,17 @@ class Decoder:
         return sorted(out)
 
 
-_PAIR = rf"([{_UP}][\p{{L}}'’-]*) (?:[A-Z]\. )?(?:(?:van|von|de|du|di|der) )?[{_UP}][\p{{L}}'’-]+"
-_PARTY_FIRST = rf"(?m)^(?:Claimant|Defendant|Appellant|Respondent|Kläger|Klägerin|Beklagte|Beklagter|Demandeur|Demanderesse) ?: {_PAIR}$"
-_PARTY_LAST = rf"(?m)(?:^|\(signed\) |Before ){_PAIR}(?: \((?:claimant|respondent|appellant|defendant)\)|, (?:appellant|respondent|Registrar|sitting alone|Kläger(?:in)?|Beklagte[rn]?|demande\p{{L}}+|défende\p{{L}}+))$"
+_FORM = r"(?!(?i:%s)(?![\p{L}-]))" % "|".join(w for w in FIRMS.split() if w[0] not in "&")
+_PERSON = rf"(\p{{Lu}}[\p{{L}}'’-]*)(?: \p{{Lu}}\.| {_FORM}\p{{Lu}}[\p{{L}}'’-]+){{0,2}}(?: (?:{'|'.join(PARTICLES.split())})){{0,2}} {_FORM}\p{{Lu}}[\p{{L}}'’-]+"
+_PARTY_FIRST = rf"(?m)^(?i:{ROLES}) ?: {_PERSON}$"
+_PARTY_LAST = rf"(?m)(?:^Before |\(signed\) |^){_PERSON}(?: \((?i:{ROLES})\)|, (?i:{ROLES}|{OFFICES})(?: \p{{L}}+)?)$"
 
 
 def shown_names(docs: DataFrame) -> DataFrame:
     """``(w)``: the given names, in lower case, that the corpus shows in its parties, judges and signatures: first words of
-    two capitalised words that stand alone in such a place, three times at least. Counted over all documents."""
+    names that stand alone in such a place, three times at least. Counted over all documents."""
     words = docs.where("text is not null").select(F.explode(F.concat(*[F.regexp_extract_all("text", F.lit(p), 1) for p in (_PARTY_FIRST, _PARTY_LAST)])).alias("w"))
-    drop = sorted(set().union(*_SETS.values()))
+    drop = sorted(set().union(*_SETS.values(), PEOPLE.split("|")))
     return words.groupBy(F.lower("w").alias("w")).count().where("count >= 3").where(~F.col("w").isin(drop)).select("w")
 
 

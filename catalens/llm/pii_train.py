@@ -1,8 +1,11 @@
 """Training of the span model: labelled sentences from a generator, conditional likelihood, AdaGrad.
 
-The labelled sample is bounded: ``SENTENCES`` sentences from the patterns below with invented names, numbers and places,
-by a fixed seed; training takes some seconds on the driver and is done once per process. In a pattern ``{name}``,
-``{mail}``, ``{phone}``, ``{id}`` and ``{street}`` stand for entities, other braces for things that look like them but aren't.
+The labelled sample is bounded: ``SENTENCES`` sentences by a fixed seed. Each is a frame from the list below with invented
+names, numbers and places in it. The frames are general English, German and French sentences as letters, files and
+decisions have them; they were written without any corpus at hand that the model is meant for, and the tests measure it on
+frames that aren't in the list. Training takes some seconds on the driver and is done once per process. In a frame
+``{name}``, ``{mail}``, ``{phone}``, ``{id}``, ``{street}``, ``{strasse}`` and ``{rue}`` stand for entities, other braces for
+things that look like them but aren't.
 """
 
 from __future__ import annotations
@@ -17,131 +20,173 @@ from catalens.llm import pii
 
 SENTENCES, EPOCHS, RATE, L2, SEED = 7000, 5, 0.25, 1e-4, 17
 
-PATTERNS = """
-{name} (claimant)
-{name}, appellant
-{name}, respondent
-Claimant: {name}
-Defendant: {name}
-Before {name}, sitting alone
-Before Judge {fam}, Judge {fam} and {name}
-Before Justice {fam} and {name}, members
-(signed) {name}, Registrar
-(signed) {name}
-{fam}, Registrar
-Present: {name}, {name} and {name}.
-The {adj} witness, {mr} {name}, gave evidence by telephone.
-{mr} {fam} submitted that the {thing} was late.
-{name} lived at {street}, {town}, when the {thing} was sent.
-{fam} lived at {street}, {town}, for two years.
-Neither {name} nor the owner of {street} had been told.
-Neither {fam} nor the tenant of {street} was heard.
-According to the register, {name} holds identity number {id}.
-On the evidence of {name} the {thing} had been open since {date}.
-In cross-examination {name} accepted that the {thing} was late.
-The deed names {name} of {street} as surety.
-The house ({street}) and its owner ({name}) are described in the {thing}.
-The premises, being {street}, were let to {name} from {date}.
-Service was effected at {street}, {zip} {town}.
-Per {name}: "the {thing} never reached me".
-Contact: {name}; tel. {phone}; {mail}.
-{name} (born {date}, ID {id}) was the driver.
-Social insurance record {id} relates to {name}.
-The passport (no. {id}) had been renewed at {town}.
-Driving licence {id} was shown at the {thing}.
-The taxpayer with personal tax number {id} did not appear.
-The mobile {phone} and the landline {phone} were dead.
-He dialled {phone} twice that evening.
-The claimant can be reached on {phone} or by writing to {mail}.
-Reply to {mail}, or call {phone} during office hours.
-A message from {mail} dated {date} was produced.
-Copies went to <{mail}> and to {mail}.
-Das Schreiben von {mail} ist vom {date}.
-Die Zeugin, Frau {name}, wohnhaft {strasse}, {zip} {town}, wurde vernommen.
-Herr {name} (Personalausweis-Nr. {id}) legte Widerspruch ein.
-Nach Angaben von {name} war das Tor offen; {name} zog nach {strasse} um.
-Die Sozialversicherungsnummer {id} gehört zu {name}.
-Steuer-ID {id}; Reisepass {id}.
-Telefonisch ({phone}) war niemand zu erreichen.
-Der Kläger ist unter {phone} oder {mail} erreichbar.
-{name}, Kläger
-{name}, Klägerin
-{firm}, Beklagte
-Die Beklagte, die {firm}, bestreitet den Zugang der Mahnung.
-Das Konto {account} der {firm} wurde geschlossen.
-Auf Rn. {n} des Urteils in Sachen {fam} gegen {fam} wird verwiesen.
-Das Gutachten misst {n},{n} Meter zwischen Mauer und Grenze.
-Nach § {n} Abs. {n} der Hafenordnung ist die Rüge verspätet (vgl. Az. {n} O {n}/{n}).
-Ein Mangel war bei Übergabe in {town} nicht erkennbar.
-Rechnung Nr. {invoice} liegt als Anlage K {n} vor.
-Die Kosten des Verfahrens trägt zu {n} Prozent die Klägerin.
-Der Betrag von {money} Kronen ist seit dem {date} fällig.
-Container {box} stand {n} Tage am Kai.
-Die Berufung gegen das Urteil vom {date} ist unbegründet.
-Die Lieferung von {n} Kisten wurde am {date} beanstandet.
-Der Vortrag zu Ziffer {n} bleibt unsubstantiiert; eine Anhörung am {date} unterblieb.
-In dem Rechtsstreit
-Landgericht {town}
-Le témoin, Mme {name}, demeurant {rue}, {zip} {town}, a été entendu.
-M. {name}, titulaire de la carte d'identité n° {id}, a formé opposition.
-Selon {name}, le portail était ouvert.
-Le numéro de sécurité sociale {id} est celui de {name}.
-Le passeport {id} a été présenté par {name}, {rue}.
-Tél. {phone} ; courriel {mail}.
-Le demandeur est joignable au {phone} ou à l'adresse {mail}.
-{name}, demandeur
-La société {firm} conteste la facture.
-la société {firm}, défenderesse
-Il est renvoyé au considérant {n} de l'arrêt {fam} c. {fam}.
-Selon l'article {n} du règlement portuaire, la réserve est tardive (RG n° {n}/{zip}).
-Les dépens sont partagés à hauteur de {n} pour cent.
-Le conteneur {box} est resté {n} jours à quai.
-La somme de {money} couronnes reste due depuis le {date}.
-Le compte {account} de la société {firm} a été clos.
-La facture n° {invoice} constitue la pièce {n}.
-Aucun défaut n'était visible lors de la remise à {town}.
-Tribunal de {town}
-Cour d'appel de {town}
-The {adj} decision in {fam} v {fam} [{year}] {series} {n} is distinguishable.
-The decision in {firm} v {fam} ({year}) {n} {series} {n}, [{n}] is distinguishable.
-Counsel referred to {fam} v {fam} [{year}] Port Rep {n} and to section {n}({n}) of the {fam} Dues Act.
-Counsel referred to Case K {n}/{year} and to section {n}({n}) of the {fam} Trade Act.
-In our view the {town} Rules {year}, rule {n}.{n}, leave no room for this {thing}.
-The barge {given} lay at berth {n}, {n} metres from the {thing}.
-The ship {given} {given} left port on {date}.
-The town of {town} operates the {thing}.
-{firm} supplied {n} crates of tiles to the {thing}.
-Account {account} of {firm} was closed.
-Lot {lot} was knocked down for {money} crowns; the hammer fell at {time}.
-Consignment number {group} was weighed twice.
-The folio {folio} in the land register concerns the {thing}.
-The meter at the {thing} read {meter} on arrival and {meter} on departure.
-Container {box} was opened at the {thing} on {date}.
-Exhibit W-{n}, invoice no. {invoice}, shows the {thing}.
-The sum of {money} crowns remained unpaid for {n} days.
-Storage of tiles at {n} degrees is not negligent.
-Between {date} and {date} no {thing} was made.
-Court of Appeal of {town}
-Labour Court of {town}
-L {n}/{year} (cont.)
-Page {n} of {n}        L {n}/{year}
-[{n}]  C {n}/{year}  |  Land Chamber of {town}
---- {TOWN} COURT --- {n} ---
-It follows that the {thing} must fail (see paragraph {n} above).
-As to costs, each side keeps its own {thing}.
-The expert measured {n}.{n} metres from the {thing} to the {thing}.
-HEADNOTE. Carriage of tiles - {thing} - whether accepted by consignee - burden of proof. Held: the {thing} did not count; appeal allowed.
-Decided on {date}
-{firm} (respondent)
-Defendant: {firm}
-Suppose that the {thing}, after a coin was tossed, was lent. May the promise be revoked when the {thing} is lost?
+FRAMES = """
+{name} (plaintiff)
+{name}, petitioner
+Plaintiff: {name}
+Applicant: {name}
+Heard by {name}
+Heard by Judge {fam} and {name}, assessors
+Delivered by Lord Justice {fam}; {name} and {name} concurring
+(signed) {name}, clerk
+{name}, clerk of the court
+{fam}, clerk
+In attendance were {name}, {name} as well as {name}.
+{name} testified on the second day.
+On the second day {mr} {name} testified that {mr} {fam} had left.
+Yesterday {name} and {mr} {fam} agreed on a price.
+{mr} {fam} replied at once.
+The letter was read by {mr} {name} and returned.
+The driver, {name}, had no licence with {given}.
+{fam} told {name} to wait.
+When {name} arrived, the door was locked.
+Nobody but {name} and the caretaker of {street} knew it.
+Nobody in {town} knew of {street} then.
+Her sister {name} moved from {street} to {street} in {year}.
+{name}, {street}, {zip} {town}
+A parcel for {name} was left at {street}, {town}.
+He lives at {street} in {town}; she lives at {street}.
+{street} was sold to {name} for {money} euros.
+The flat ({street}) belongs to {name}.
+Send it to {name}, {street}, {town}, before {date}.
+Statement of {name}, dated {date}, page {n}.
+Statement by {name}: "{thing} and {thing} were missing".
+{name} ({mail}, {phone}) will assist.
+My client {name} (passport {id}) agrees.
+{name}, born on {date}, holds ID {id}.
+Passport number {id}, issued in {town} on {date}.
+National insurance number: {id}; tax reference {id}.
+Her social security number is {id}, that of {name} is {id}.
+Driver's licence no. {id} expired on {date}.
+The identity document ({id}) of {name} was copied.
+A tax number, {id}, was entered for {name}.
+Please write to {mail} or telephone {phone}.
+Call {phone} or {phone} (mobile).
+Fax {phone}, e-mail {mail}
+She rang {phone} and left a message.
+Nobody answered on {phone}.
+An e-mail of {date} from {mail} to {mail} was filed.
+The address <{mail}> no longer works.
+Invoice {invoice} of {date} remains open.
+Invoice no. {invoice} and receipt {folio} were attached.
+IBAN account {account} at {firm} was frozen.
+Account {account} is held by {firm}.
+Order no. {group} was cancelled by {firm}.
+Batch {lot} went to {town}; lot {lot} did not.
+Contract {folio} and policy number {account} were renewed.
+Parcel {group} was lost between {town} and {town}.
+Shipment {group} reached {firm} after {n} days.
+Container {box} and container {box} were sealed.
+Meter reading {meter}, before that {meter}.
+The folio is {folio}; the register has {lot}.
+{firm} and {firm} merged in {year}.
+{firm}, respondent
+Applicant: {firm}
+{firm} bought the {thing} from {firm}.
+{fam} v. {fam}, {year} {series} {n}
+As held in {fam} v {fam} ({year}) {n} {series} {n}, para {n}, notice is needed.
+See {firm} v {fam} [{year}] {series} {n} at {n}, or [{n}].
+Compare {fam} v {fam} [{year}] {town} Reports {n} with section {n}({n}) of the {fam} Lending Act.
+Under the {fam} Act {year}, s {n}({n}), notice is needed.
+Rule {n}.{n} of the {town} Regulations {year} says so.
+Case C {n}/{year} concerned the {town} Rules {year}, rule {n}.
+{letter} {n}/{year}
+{letter} {n}/{year}, {town}
+File {letter} {n}/{year} of the {town} County Court
+Docket {n}/{year} - {letter} {n}/{year} - page {n}
+{n} {letter} {n}/{year}
+[{n}] {letter} {n}/{year} | {town} {Noun}
+{letter} {n}/{year} (continued)
+{town} County Court
+{firm} and {firm} sued {firm}.
+Neither {firm} nor {fam} replied; {firm} paid.
+Subject: {Loud}
+Question: {Noun} {Noun}, {thing}
+Betreff: {Noun} {Noun} in {town}
+Frage: Wer {Noun} nimmt, gibt der {Noun} zurück?
+Objet : {Noun} {Noun}
+The number ({phone}) was wrong; ({phone}) was right.
+La déclaration de {name} manque.
+Le témoignage de {name} et celui de {fam} diffèrent.
+Die Aussage von {name} und die von {fam} fehlen.
+High Court at {town}
+The {town} District Court sits in {town}.
+The vessel {given} of {town} sailed on {date}.
+The ferries {given} {given2} and {given} {fam} were laid up in {town}.
+The yacht {given} {fam} is {n}.{n} metres long.
+Price: {money} dollars, payable within {n} days.
+A total of {money} pounds for {n} boxes was agreed.
+{n} km from {town}, {n}.{n} kg of {thing}
+At {time} on {date} the {thing} stopped.
+From {date} until {date}, that is {n} days.
+Title {n}  {Loud}
 {LOUD}
---- COURT OF APPEAL OF {TOWN} --- {n} ---
-Leitsatz: Wer {Noun} im Lager verwahrt, haftet nur bei grobem Verschulden; die Anzeige genügt in Verfahren der Reihe C nicht.
-Wegen Verzug {Noun} {Noun} haftet das Lager; Einlagerung {Noun} Hafen nach Eingang {Noun}.
-(quoted) {LOUD}
-"{Loud} {thing}", it said.
-Reading the {thing} as a whole, and having regard to {fam} v {fam} [{year}] {series} {n}, we conclude that it was written.
+{town} {Noun} {Noun} {year}
+Old {Noun} and New {Noun}, {town}
+Page {n}  {LOUD}  {n}
+{n}/{n}  {town} {Noun}
+{name} (Klägerin)
+{name}, Antragsteller
+{name}, Beklagter
+Vertreten durch {name}, {strasse}, {zip} {town}.
+Zeuge {name}, {strasse}, {zip} {town}, ist verhindert.
+{mrd} {name} wohnt jetzt {strasse} in {town}.
+{mrd} {fam} und {mrd} {name} haben unterschrieben.
+Gestern hat {name} Klage erhoben.
+Mit {name} Vergleich zu schließen, lehnte die {firm} ab.
+Für {name} meldete sich niemand.
+Das Haus {strasse} gehört {name}.
+Die Wohnung in {strasse}, {town}, steht leer.
+Nach Aussage von {name} war niemand da.
+Ausweisnummer {id}, ausgestellt auf {name}.
+Sein Führerschein ({id}) wurde eingezogen.
+Steuernummer {id}; Versichertennummer {id}.
+Der Pass mit der Nummer {id} ist abgelaufen.
+Rückfragen an {mail}, Telefon {phone}.
+Unter {phone} meldet sich {name}.
+Handy {phone}, Fax {phone}
+Schreiben Sie an {mail} oder rufen Sie {phone} an.
+Die {firm} hat Konto {account} aufgelöst.
+Rechnung {invoice} vom {date} über {money} Euro.
+Bestellung {group}, Sendung {lot}, Vertrag {folio}.
+Container {box} kam {n} Tage zu spät.
+Urteil des Landgerichts {town} vom {date}
+Amtsgericht {town}, Az. {n} C {n}/{n}
+Nach § {n} Abs. {n} Satz {n} der {Noun}ordnung gilt das nicht.
+In der Sache {fam} gegen {fam}, Rn. {n}, lag es anders.
+Am {date} wurden {n} {Noun} geliefert, {n},{n} Meter lang.
+Anlage {n}: {Noun} und {Noun} aus {town}
+Wer {Noun} kauft, muss {Noun} prüfen.
+{Noun} {Noun} nach {Noun} in {town}
+{Noun} gegen {Noun} vor dem {Noun}
+{name}, demanderesse
+{name}, requérant
+Entre {name} et la société {firm}
+{mrf} {name}, née le {date}, habite {rue} à {town}.
+{mrf} {name} et {mrf} {fam} ont signé.
+M. {name} est propriétaire du {rue}.
+M. {name} et son épouse, {name}, ont quitté {town}.
+Le logement du {rue}, {zip} {town}, est vide.
+Convoqué par {name}, il a refusé.
+L'avocat de {name} n'a pas répondu.
+D'après {name}, la porte était fermée.
+Carte d'identité {id}, passeport {id}.
+Son permis de conduire n° {id} est périmé.
+Numéro fiscal {id} ; numéro de sécurité sociale {id}.
+L'assuré {name} (n° {id}) a été remboursé.
+Écrire à {mail} ou appeler le {phone}.
+Téléphone {phone}, portable {phone}
+On peut joindre {name} au {phone}.
+Facture n° {invoice} de la société {firm}.
+Le compte {account} est débiteur de {money} euros.
+La commande {group} et le colis {lot} sont perdus.
+Conteneur {box} reçu après {n} jours.
+Arrêt {fam} c. {fam}, point {n}
+Article {n} de la loi du {date} sur les {noun}.
+Cour d'appel de {town}, {n} mars {year}
+La société {firm} a vendu {n} {noun} à {town}.
+Prix : {money} francs pour {n},{n} mètres.
+Fait à {town}, le {date}.
 """.strip().split("\n")
 
 _GIVEN = "Agnete Bertil Clovis Dorrit Eskil Fabienne Gunvor Hedwig Isolde Jarmila Kasimir Ludmila Mirek Noémie Ottokar Pernille Quirin Roswitha Sigrid Théo Ulrika Valérie Wenzel Xaver Yvette Zdenka".split()
@@ -149,6 +194,8 @@ _GIVEN_SET = frozenset(g.lower() for g in _GIVEN)
 _A = "Bram Dolt Fenn Gaver Hult Ivers Klem Lomb Mard Nyst Ost Parv Rond Selk Trev Urd Walt".split()
 _B = "berg sen mann aud ier quin lund ström ridge ley ova ić".split()
 _T = "bury field wick stetten bach ville port heim cester brück".split()
+_PLAIN = "table window paper garden bridge offer ticket harvest engine letter kitchen carpet".split()
+_NOUNS = "Ziegel Glas Kohle Holz Ware Kiste Frist Kran Schuppen Pacht Anzeige Zugang Vertrag Mangel Antrag Termin Garten Brücke".split()
 
 
 class _Maker:
@@ -167,13 +214,19 @@ class _Maker:
             f = "O'" + f
         return f
 
+    def given(self) -> str:
+        """Mostly one of the list; now and then one that no list has."""
+        r = self.r
+        return r.choice(_GIVEN) if r.random() > 0.06 else r.choice(_A) + r.choice(("a", "o", "is", "elle"))
+
     def name(self) -> str:
-        r, f = self.r, self.fam()
-        g = r.choice(_GIVEN)
-        if r.random() < 0.06:  # one that no list has
-            g = r.choice(_A) + r.choice(("a", "o", "is", "elle"))
+        r, f, g = self.r, self.fam(), self.given()
         if r.random() < 0.12:
-            f = r.choice(("van ", "von ", "de ", "di ", "du ")) + f
+            f = r.choice(("van ", "von ", "de ", "di ", "du ", "van der ", "de la ", "dos ", "al ")) + f
+        elif r.random() < 0.1:
+            f += " " + r.choice(("", "", "y ", "de ")).replace("y ", "") + self.fam()
+        if r.random() < 0.1:
+            g += " " + self.given()
         x = r.random()
         if x < 0.12:
             return f.upper() + ", " + g
@@ -186,7 +239,7 @@ class _Maker:
         if x < 0.54:
             return g + " " + r.choice("ABCDEH") + ". " + f
         if x < 0.57:
-            return g[0] + ". " + r.choice("ABCDEH") + ". " + f
+            return g[0] + ". " + r.choice("ABCDEH") + ". " + r.choice(("", "", "K. ")) + f
         return g + " " + f
 
     def town(self) -> str:
@@ -194,8 +247,8 @@ class _Maker:
 
     def firm(self) -> str:
         r = self.r
-        base = r.choice((self.fam() + " & " + self.fam(), self.fam() + " " + r.choice("Holdings Freight Timber Optics Shipping Foundry Dairies".split()), self.fam()))
-        return base + r.choice((" Ltd", " GmbH", " LLP", " plc", " AG", " SA", " & Sons Ltd", " Co-operative"))
+        base = r.choice((self.fam() + " & " + self.fam(), self.fam() + " " + r.choice("Trading Brewery Transport Mining Paper Steel Textil Foods Bau Media".split()), self.fam(), r.choice(_GIVEN) + " " + self.fam()))
+        return base + r.choice((" Ltd", " GmbH", " plc", " ltd", " LLP", " plc", " AG", " SA", " & Sons Ltd", " Co-operative", " Inc", " SARL", " KG", " BV"))
 
     def mail(self) -> str:
         r = self.r
@@ -206,18 +259,29 @@ class _Maker:
         m = a + at + dot.join(d)
         return m.upper() if at == "@" and r.random() < 0.1 else m
 
+    def groups(self, sizes: list[int], marks: str) -> str:
+        return self.r.choice(marks).join(self.num(n) for n in sizes)
+
     def phone(self) -> str:
-        n = self.num
-        return self.r.choice((f"+999 (0){n(3)} {n(3)} {n(2)} {n(2)}", f"({n(3)}) {n(3)}-{n(4)}", f"0{n(3)}/{n(3)} {n(4)}", f"0{n(3)} {n(3)} {n(4)}", f"{n(3)}.{n(3)}.{n(4)}", f"{n(3)}-{n(3)}-{n(4)}", f"00{n(13)}", f"{n(3)} {n(2)} {n(2)} {n(2)} {n(2)}", f"+999 {n(3)} {n(3)} {n(4)}", f"+{n(2)} {n(3)} {n(7)}", f"0{n(9)}"))
+        """A prefix of some kind and groups of two to four digits, or all digits in one."""
+        r = self.r
+        cc = "+" + self.num(r.randint(1, 3))
+        sizes = r.choice(([3, 4], [3, 3, 4], [3, 3, 2, 2], [2, 2, 2, 2], [3, 2, 2, 2, 2], [4, 4], [3, 7], [4, 3, 4], [3, 3, 3]))
+        body = self.groups(sizes, "    .-" if r.random() < 0.8 else " ")
+        return r.choice((f"{cc} {body}", f"{cc} (0){body}", f"({self.num(3)}) {body}", f"0{self.num(3)}/{body}", f"0{self.num(2)} {body}", f"0{self.num(3)} {body}", f"0{self.num(3)}-{body}", f"00{self.num(r.randint(9, 13))}", f"{cc}{self.num(r.randint(8, 10))}", f"0{self.num(r.randint(8, 10))}", self.groups([3, 3, 4], ".-"), self.groups([3, 2, 2, 2, 2], " ")))
 
     def id(self) -> str:
-        n, c = self.num, self.r.choice("ABCDEGHKLMNPRTWXY")
-        d = self.r.choice("ABCDEGHKLMNPRTWXY")
-        return self.r.choice((f"{n(4)} {n(4)} {n(4)}", f"{n(3)}.{n(4)}.{n(4)}.{n(2)}", f"{n(2)}/{n(3)}/{n(5)}", f"{n(6)}-{n(4)}", n(11), c + n(8), c + d + n(7), f"{c}{d} {n(2)} {n(2)} {n(2)} {d}", n(9), f"{n(3)}-{n(2)}-{n(4)}", f"{n(3)} {n(3)} {n(3)}", c + n(7) + d))
+        """Digits with letters before, after or around, in groups or in one."""
+        r = self.r
+        letter = lambda: r.choice("ABCDEGHKLMNPRTWXYZ")
+        sizes = [r.choice((2, 3, 4, 4, 5)) for _ in range(r.randint(2, 4))]
+        plain = self.num(r.randint(7, 12))
+        return r.choice((self.groups(sizes, " ./-"), plain, letter() + plain[:9], letter() + letter() + plain[:8], plain[:8] + letter(), letter() + plain[:8] + letter(), letter() + letter() + " " + self.groups([2, 2, 2], " ") + " " + letter(), self.groups([6, 4], "-/"), self.groups([3, 4, 4, 2], "."), self.groups([4, 4, 4], " "), self.groups([2, 3, 5], "/ ")))
 
     def street(self) -> str:
         r = self.r
-        s = r.choice((r.choice(_A) + r.choice(("moor", "croft", "ing")) + " " + r.choice("Road Lane Street Close Avenue Terrace Crescent Hill".split()), "Old " + r.choice(("Brewery", "Ferry")) + " " + r.choice(("Road", "Lane")), "St " + r.choice(_A) + "'s " + r.choice(("Walk", "Row", "Street")), "Upper " + r.choice(_A) + "gate", r.choice(_A) + "er's Row", "High Street", "Water Mill Lane"))
+        way = r.choice("Road Lane Street Close Avenue Terrace Crescent Hill Drive Gardens Place Row Square Walk Mews Grove".split())
+        s = r.choice((r.choice(_A) + r.choice(("moor", "croft", "ing", "")) + " " + way, r.choice(("Old", "New", "Upper", "Lower", "North")) + " " + r.choice(_A) + " " + way, "St " + r.choice(_A) + "'s " + way, r.choice(("Upper ", "")) + r.choice(_A) + "gate", r.choice(_A) + "er's " + way, "High Street", r.choice(_A) + " " + r.choice(_A) + " " + way))
         return self.house() + " " + s
 
     def house(self) -> str:
@@ -225,28 +289,30 @@ class _Maker:
 
     def strasse(self) -> str:
         r = self.r
-        s = r.choice((r.choice(_A) + r.choice(("straße", "allee", "weg", "gasse", "ring", "platz")), r.choice(_A) + "er Weg", "Obere " + r.choice(_A) + "gasse", "Alter Markt", r.choice(_A) + "er Straße"))
+        s = r.choice((r.choice(_A) + r.choice(("straße", "str.", "allee", "weg", "gasse", "ring", "platz", "damm")), r.choice(_A) + "er " + r.choice(("Weg", "Straße", "Platz", "Allee")), r.choice(("Am ", "An der ", "Kleine ", "Alte ", "Untere ")) + r.choice(_A) + r.choice(("gasse", "markt", "weg")), r.choice(_A) + "-" + r.choice(_A) + "-Straße"))
         return s + " " + self.house()
 
     def rue(self) -> str:
         r = self.r
         number = self.house() + (" bis" if r.random() < 0.1 else "")
-        s = r.choice(("rue des ", "avenue des ", "chemin du ", "quai de la ", "impasse du ", "place de la ", "rue ")) + r.choice((r.choice(_A) + "iers-Hauts", "Vieille-" + r.choice(_A) + "e", r.choice(_A) + "-à-Sel", r.choice(_A) + "oir"))
-        return number + ", " + s
+        way = r.choice("rue avenue chemin quai impasse place boulevard allée".split())
+        way = way.title() if r.random() < 0.15 else way
+        s = way + " " + r.choice(("des ", "du ", "de la ", "de ", "de l'", "")) + r.choice((r.choice(_A) + "iers", r.choice(_A) + "e-" + r.choice(_A), r.choice(_A) + "oir", r.choice(_A) + " " + r.choice(_A), r.choice(_A) + "-sur-" + r.choice(_A)))
+        return number + r.choice((", ", ", ", " ")) + s
 
     def loud(self) -> str:
-        return " ".join(self.r.choice("at lease a baker agrees to drain the bench once snow falls which remedy is best tender rope key of for and yet two cousins refuse it despite ledger".split()) for _ in range(self.r.randint(3, 9)))
+        return " ".join(self.r.choice("in winter the river of stones was low and every farmer knew that no boat could pass under it after noon nor carry grain for sale".split()) for _ in range(self.r.randint(3, 9)))
 
     def other(self, what: str) -> str:
         r, n = self.r, self.num
         month = r.choice("January March May July August October December".split())
         return {
-            "fam": self.fam, "town": self.town, "firm": self.firm, "given": lambda: r.choice(_GIVEN), "TOWN": lambda: self.town().upper(), "adj": lambda: r.choice(("first", "last")),
-            "thing": lambda: r.choice("notice survey invoice lease wharf gate delivery note old depot".split()), "mr": lambda: r.choice("Mr Ms Dr Mrs".split()),
+            "fam": self.fam, "town": self.town, "firm": self.firm, "given": lambda: r.choice(_GIVEN), "letter": lambda: r.choice("ABCDEFGHKLMNOPRSTVWX"), "given2": lambda: r.choice(_GIVEN),
+            "thing": lambda: r.choice(_PLAIN), "noun": lambda: r.choice("tables portes caisses fenêtres livres".split()), "mr": lambda: r.choice("Mr Ms Dr Mrs Prof".split()), "mrd": lambda: r.choice("Herr Frau Dr. Richterin Herrn".split()).replace("Herrn", "Herr"), "mrf": lambda: r.choice("Mme Mlle Madame Monsieur Me".split()),
             "date": lambda: r.choice((f"{r.randint(1, 28)} {month} {r.randint(1990, 2024)}", f"{r.randint(1990, 2024)}-0{r.randint(1, 9)}-{r.randint(10, 28)}", f"{r.randint(10, 28)}.0{r.randint(1, 9)}.{r.randint(1990, 2024)}", f"{r.randint(1, 28)}. März {r.randint(1990, 2024)}", f"{r.randint(1, 28)} mars {r.randint(1990, 2024)}")),
             "zip": lambda: n(r.choice((4, 5))), "account": lambda: f"{n(4)} {n(4)} {n(4)}", "n": lambda: str(r.randint(1, 300)), "invoice": lambda: f"{n(4)}-{n(6)}",
-            "money": lambda: r.choice((f"{n(3)},{n(3)}.{n(2)}", f"{n(3)}.{n(3)},{n(2)}", f"{n(3)} {n(3)},{n(2)}", f"{n(1)}.{n(3)},{n(2)}")), "box": lambda: r.choice(("ABCU ", "MSKU ", "TRLU ")) + n(7), "year": lambda: str(r.randint(1950, 2024)), "series": lambda: r.choice(("ABLR", "KLR", "TFX")),
-            "LOUD": lambda: self.loud().upper() + ".", "Loud": lambda: self.loud().title(), "Noun": lambda: r.choice("Ziegel Glas Kohle Holz Ware Kiste Frist Kran Schuppen Pacht Anzeige Zugang".split()),
+            "money": lambda: r.choice((f"{n(3)},{n(3)}.{n(2)}", f"{n(3)}.{n(3)},{n(2)}", f"{n(3)} {n(3)},{n(2)}", f"{n(1)}.{n(3)},{n(2)}")), "box": lambda: "".join(r.choice("ABCEKLMNRST") for _ in range(3)) + "U " + n(7), "year": lambda: str(r.randint(1950, 2024)), "series": lambda: "".join(r.choice("ABCEKLQRT") for _ in range(3)),
+            "LOUD": lambda: self.loud().upper() + ".", "Loud": lambda: self.loud().title(), "Noun": lambda: r.choice(_NOUNS),
             "lot": lambda: f"{n(3)}/{n(4)}", "time": lambda: f"{n(2)}:{n(2)}", "group": lambda: f"{n(3)} {n(3)} {n(3)}", "folio": lambda: f"{n(4)}.{n(3)}", "meter": lambda: n(6),
         }[what]()
 
@@ -254,14 +320,14 @@ class _Maker:
 _KIND = {"name": 0, "mail": 1, "phone": 2, "id": 3, "street": 4, "strasse": 4, "rue": 4}
 
 
-def labelled(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, int]]]]:
+def labelled(n: int, seed: int, frames: list[str] = FRAMES) -> list[tuple[str, list[tuple[int, int, int]]]]:
     """``n`` texts of one to two sentences, with ``(begin, end, kind)`` of their entities."""
     make, out = _Maker(seed), []
     for k in range(n):
         text, spans = "", []
         if make.r.random() < 0.5 and out:
-            text = make.r.choice(("As to costs, each side bears its own. ", "3. ", "[4] ", "12  ", "It was so. "))
-        for part in re.split(r"(\{\w+\})", PATTERNS[k % len(PATTERNS)]):
+            text = make.r.choice(("That is all. ", "3. ", "(4) ", "[5] ", "12  ", "Mehr nicht. ", "C'est tout. "))
+        for part in re.split(r"(\{\w+\})", frames[k % len(frames)]):
             if part[:1] != "{":
                 text += part
             elif (what := part[1:-1]) in _KIND:
