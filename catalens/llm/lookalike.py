@@ -62,19 +62,17 @@ _BLANKS = {c: " " for c in (*range(9, 14), 0x85, 0x2028, 0x2029, 0x1680)}
 _ASCII = "^[\\x00-\\x7f]*$"
 
 
-@lru_cache(100_000)
-def _unseen(c: str) -> bool:
-    """True for characters without appearance: format characters, variation selectors, fillers."""
-    return unicodedata.category(c) == "Cf" or c in _FILLERS or "\ufe00" <= c <= "\ufe0f" or "\U000e0100" <= c <= "\U000e01ef"
+_PLANES = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x10000), *range(0x11000, 0x14000), *range(0x1B000, 0x1E000), *range(0xE0000, 0xE01F0))]
+#: Format characters, variation selectors and fillers have no appearance; blanks of all kinds are one.
+_CLEAR = {ord(c): None for c in _PLANES if unicodedata.category(c) == "Cf" or c in _FILLERS or "\ufe00" <= c <= "\ufe0f" or "\U000e0100" <= c <= "\U000e01ef"}
+_CLEAR |= {ord(c): " " for c in _PLANES if unicodedata.category(c) == "Zs"} | _BLANKS
 
 
 def fold(text: str) -> str:
     """The form of a text that needs no corpus."""
     if text.isascii():
         return text.translate(_BLANKS)
-    shown = "".join(c for c in text if not _unseen(c))
-    shown = "".join(c for c in unicodedata.normalize("NFKC", shown) if not _unseen(c))
-    return unicodedata.normalize("NFC", "".join(" " if unicodedata.category(c) == "Zs" else c for c in shown.translate(_BLANKS)))
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFKC", text).translate(_CLEAR))
 
 
 @lru_cache(100_000)
@@ -132,6 +130,8 @@ def changes(token: str) -> int:
 
 def _words(run: str) -> list[str]:
     """A run of letters and digits cut where a capital follows a small letter."""
+    if run[1:].islower() or run.isupper():
+        return [run]
     cuts = [0, *(i for i in range(1, len(run)) if run[i].isupper() and run[i - 1].islower()), len(run)]
     return [run[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
 
@@ -144,19 +144,26 @@ def pieces(text: str | None) -> list[str] | None:
 _FOLDED = "entry_id long, volume string, path string, v_pieces array<string>, p_pieces array<string>, plain array<string>, suspects array<struct<token:string,look:string,changes:int,results:array<string>>>"
 
 
+@lru_cache(200_000)
+def _suspicion(token: str) -> dict | None:
+    """What is to be known of a token, or None if it isn't suspect."""
+    found, n = results(token), changes(token)
+    return {"token": token, "look": look(token), "changes": n, "results": list(found) or [token]} if found or n else None
+
+
 def _fold_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         out = []
         for i, v, p in zip(b["entry_id"], b["volume"], b["path"], strict=True):
             vp, pp = pieces(v), pieces(p)
-            plain, suspects = set(), {}
-            for t in {*(vp or []), *(pp or [])}:
-                if _TOKEN.fullmatch(t):
-                    if (r := results(t)) or changes(t):
-                        suspects[t] = list(r) or [t]
+            plain, suspects = [], []
+            for t in {*(vp or ()), *(pp or ())}:
+                if t[0].isalnum():
+                    if not t.isascii() and (s := _suspicion(t)):
+                        suspects.append(s)
                     else:
-                        plain.add(t)
-            out.append((i, v, p, vp, pp, list(plain), [{"token": t, "look": look(t), "changes": changes(t), "results": r} for t, r in suspects.items()]))
+                        plain.append(t)
+            out.append((i, v, p, vp, pp, plain, suspects))
         yield pd.DataFrame(out, columns=["entry_id", "volume", "path", "v_pieces", "p_pieces", "plain", "suspects"])
 
 
