@@ -9,7 +9,13 @@ A window of 12 equal words is a hit under every mask, so an exact leak of ``leas
 
 Items are few: while their seeds are at most ``SEED_BOUND`` they are sent to all tasks, which read each document once, map
 its words to the items' vocabulary and hash its windows as vectors; no window leaves its task. Beyond the bound item and
-document hashes are joined by a shuffle (:func:`_hits_joined`), windows with words no item has being dropped before it.
+document hashes are joined by a shuffle (:func:`_hits_joined`). Before it each task drops the windows whose hash is in no
+item, by a Bloom filter over the items' hashes of fixed size (``FILTER_WORDS``), so what is shuffled follows the leaks and
+not the corpus; hashes of any frequency are spread over ``SALT`` keys; and a document's text is joined once, to all that it
+hit.
+
+How many substituted words are tolerated is a matter of chance of where they fall. Of passages of 40 words with that part of
+their words replaced, each independently, the tests find at least 0.99 at 5 %, 0.97 at 10 % and 0.9 at 15 %.
 
 Words are maximal runs of letters and digits in lower case. Null or empty texts and texts under 12 words give no rows; rows
 without id are left out; a repeated document or item id is treated as one more text of that id, each result row once.
@@ -24,15 +30,18 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalens.session import spread
+from catalens.session import spread, written
 
 SPAN = 12
 #: Fixed masks over the window; 0 marks a position that is ignored.
 MASKS = ("110111011011", "101110110111", "111011101101")
 MISMATCH, SEED_BOUND = 3, 2_000_000
+#: Words of 64 bits in the Bloom filter, keys a hash is spread over, and items whose texts are handed over with one copy of a
+#: document's text.
+FILTER_WORDS, SALT, ITEMS_AT_ONCE = 1 << 21, 16, 500
 _WORD = re.compile(r"[^\W_]+")
 SCHEMA = "doc_id long, item_id long, words long, exact_words long, doc_start long, item_start long"
 _MULTIPLIERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(SPAN)], np.uint64)
@@ -162,7 +171,7 @@ def _dense(codes: np.ndarray) -> np.ndarray:
 
 def leaks(docs: DataFrame, items: DataFrame, bound: int = SEED_BOUND) -> DataFrame:
     """One row for each document and item that overlap: the words of the best overlap, those of the longest exact run on
-    its diagonal and where it starts in both, in words."""
+    its diagonal and where the overlap starts in both, in words."""
     docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
     items = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text")
     # a text has at most one window for every two of its characters
@@ -176,32 +185,77 @@ def leaks(docs: DataFrame, items: DataFrame, bound: int = SEED_BOUND) -> DataFra
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("b.words").alias("words"), F.col("b.exact_words").alias("exact_words"), (-F.col("b.d")).alias("doc_start"), (-F.col("b.i")).alias("item_start"))
 
 
-def _hits_joined(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The same for items of any number: windows of both sides are hashed by their words, the hashes joined, and each
-    (document, item, diagonal) that meets is verified on the two word sequences."""
+def word_codes(text: str | None) -> np.ndarray:
+    """Words as 64-bit hashes."""
+    found = words(text) if text else []
+    return pd.util.hash_array(np.array(found, dtype=object)).astype(np.int64) if found else np.zeros(0, np.int64)
+
+
+def _places(hashes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Word and bit of each hash in the Bloom filter, for its two functions."""
+    h = hashes.view(np.uint64)
+    mixed = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return [((x >> np.uint64(6)) % np.uint64(FILTER_WORDS), x & np.uint64(63)) for x in (h, mixed)]
 
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _windows(held: np.ndarray | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """All windows of texts as ``key, h, m, at``; with a filter only those whose hash may be in it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for key, text in zip(b["key"], b["text"], strict=True):
-                codes = pd.util.hash_array(np.array(words(text), dtype=object)).astype(np.int64) if text else np.zeros(0, np.int64)
+                codes = word_codes(text)
                 for m, mask in enumerate(MASKS):
-                    h = seed_hashes(codes, mask).view(np.int64)
-                    out.append(pd.DataFrame({"key": key, "h": h, "m": np.int32(m), "at": np.arange(len(h), dtype=np.int64)}))
+                    h = seed_hashes(codes, mask)
+                    at = np.arange(len(h), dtype=np.int64)
+                    if held is not None and len(h):
+                        keep = np.logical_and.reduce([(held[w] >> bit) & np.uint64(1) for w, bit in _places(h)]).astype(bool)
+                        h, at = h[keep], at[keep]
+                    if len(h):
+                        out.append(pd.DataFrame({"key": key, "h": h.view(np.int64), "m": np.int32(m), "at": at}))
             yield pd.concat(out) if out else pd.DataFrame({"key": [], "h": [], "m": [], "at": []})
 
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    return run
+
+
+def _filter(windows: DataFrame) -> np.ndarray:
+    """The Bloom filter over the hashes ``h``, made where they are; its size is fixed."""
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for d, i, g, dt, it in zip(b["doc_id"], b["item_id"], b["g"], b["text"], b["i_text"], strict=True):
-                dw, iw = np.array(words(dt), dtype=object), np.array(words(it), dtype=object)
-                got = verified(dw, iw, int(g))
-                if got[0] >= SPAN:
-                    out.append((d, i, *got))
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "words", "exact_words", "doc_start", "item_start"])
+            both = [pd.DataFrame({"w": w.view(np.int64), "bits": (np.uint64(1) << bit).view(np.int64)}) for w, bit in _places(b["h"].to_numpy(np.int64))]
+            yield pd.concat(both).groupby("w", as_index=False)["bits"].agg(np.bitwise_or.reduce)
+
+    held = np.zeros(FILTER_WORDS, np.uint64)
+    rows = windows.select("h").mapInPandas(places, "w long, bits long").groupBy("w").agg(F.bit_or("bits").alias("bits")).toPandas()
+    held[rows["w"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    return held
+
+
+def _check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        out = []
+        for doc_id, text, hits in zip(b["doc_id"], b["text"], b["hits"], strict=True):
+            mine = word_codes(text)
+            for hit in hits:
+                codes = word_codes(hit["text"])
+                for diagonal in hit["gs"]:
+                    if diagonal < len(mine):  # a text of the same id may be shorter
+                        got = verified(mine, codes, int(diagonal))
+                        if got[0] >= SPAN:
+                            out.append((doc_id, hit["item_id"], *got))
+        yield pd.DataFrame(out, columns=["doc_id", "item_id", "words", "exact_words", "doc_start", "item_start"])
+
 
+def _hits_joined(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The same for items of any number."""
     schema = "key long, h long, m int, at long"
-    left = docs.toDF("key", "text").mapInPandas(windows, schema).toDF("doc_id", "h", "m", "d_at")
-    right = items.toDF("key", "text").mapInPandas(windows, schema).toDF("item_id", "h", "m", "i_at")
-    met = left.join(right, ["h", "m"]).select("doc_id", "item_id", (F.col("d_at") - F.col("i_at")).alias("g")).distinct()
-    return met.join(docs, "doc_id").join(items.toDF("item_id", "i_text"), "item_id").select("doc_id", "item_id", "g", "text", "i_text").mapInPandas(check, SCHEMA)
+    mine = written(items.toDF("key", "text").mapInPandas(_windows(None), schema), "item-windows")
+    salted = mine.select(F.col("key").alias("item_id"), "h", "m", F.col("at").alias("i_at"), F.explode(F.array(*map(F.lit, range(SALT)))).alias("s"))
+    theirs = spread(docs.toDF("key", "text")).mapInPandas(_windows(_filter(mine)), schema).select(F.col("key").alias("doc_id"), "h", "m", F.col("at").alias("d_at"), F.pmod(F.xxhash64("key", "at"), F.lit(SALT)).cast("int").alias("s"))
+    met = theirs.join(salted, ["h", "m", "s"]).select("doc_id", "item_id", (F.col("d_at") - F.col("i_at")).alias("g"))
+    pairs = met.groupBy("doc_id", "item_id").agg(F.collect_set("g").alias("gs")).join(items, "item_id")
+    share = F.pmod(F.xxhash64("item_id"), F.ceil(F.count("*").over(Window.partitionBy("doc_id")) / ITEMS_AT_ONCE))
+    hits = pairs.withColumn("part", share).groupBy("doc_id", "part").agg(F.collect_list(F.struct("item_id", "text", "gs")).alias("hits"))
+    return hits.join(docs, "doc_id").select("doc_id", "text", "hits").mapInPandas(_check, SCHEMA)

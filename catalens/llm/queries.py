@@ -102,6 +102,21 @@ _KEYS += "g AS (SELECT key, count(*) AS lines, min(line_id) AS keep_id FROM k GR
 
 _RUNS = "SELECT {0}, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS run FROM (SELECT {0}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM {1} WHERE text IS NOT NULL)"
 
+_W = "(SELECT {0}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM {1} WHERE text IS NOT NULL)"
+_KEY = lambda mask: "concat_ws(' ', " + ", ".join(f"w[i + {k + 1}]" for k, on in enumerate(mask) if on == "1") + ")"
+_WINDOWS = lambda key, source: " UNION ALL ".join(f"SELECT {key}, {m} AS m, unnest(list_transform(range(0, len(w) - {leaks.SPAN - 1}), lambda i: {{'p': i, 'k': {_KEY(mask)}}}), recursive := true) FROM {source}" for m, mask in enumerate(leaks.MASKS))
+_LEAKS = f"""
+WITH dw AS {_W.format('doc_id', 'documents')}, iw AS {_W.format('item_id', 'eval_items')},
+hits AS (SELECT DISTINCT doc_id, item_id, d.p - i.p AS g FROM ({_WINDOWS('doc_id', 'dw')}) d JOIN ({_WINDOWS('item_id', 'iw')}) i ON d.m = i.m AND d.k = i.k),
+cells AS (SELECT doc_id, item_id, g, greatest(0, -g) AS a, unnest(list_transform(range(greatest(0, -g), least(len(iw.w), len(dw.w) - g)), lambda j: {{'k': j - greatest(0, -g) + 1, 'eq': iw.w[j + 1] = dw.w[j + g + 1]}}), recursive := true) FROM hits JOIN dw USING (doc_id) JOIN iw USING (item_id)),
+sums AS (SELECT *, sum(CASE WHEN eq THEN 1 ELSE -{leaks.MISMATCH} END) OVER v AS t, k - sum(CASE WHEN eq THEN 1 ELSE 0 END) OVER v AS island FROM cells WINDOW v AS (PARTITION BY doc_id, item_id, g ORDER BY k)),
+runs AS (SELECT doc_id, item_id, g, max(n) AS exact_words FROM (SELECT doc_id, item_id, g, island, count(*) FILTER (eq) AS n FROM sums GROUP BY ALL) GROUP BY ALL),
+lows AS (SELECT *, least(0, coalesce(min(t) OVER (v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS before FROM sums WINDOW v AS (PARTITION BY doc_id, item_id, g ORDER BY k)),
+starts AS (SELECT *, least(before, t) AS low, coalesce(max(CASE WHEN t < before THEN k END) OVER (PARTITION BY doc_id, item_id, g ORDER BY k), 0) AS start FROM lows),
+best AS (SELECT * FROM starts QUALIFY row_number() OVER (PARTITION BY doc_id, item_id, g ORDER BY t - low DESC, k) = 1)
+SELECT doc_id, item_id, k - start AS words, exact_words, a + start + g AS doc_start, a + start AS item_start FROM best JOIN runs USING (doc_id, item_id, g) WHERE k - start >= {leaks.SPAN}
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY exact_words DESC, words DESC, doc_start, item_start) = 1"""
+
 _SHOWN = "MAP {" + ", ".join(f"'{c}': " + "'" + v.replace("'", "''") + "'" for c, v in lookalike.shown_as().items()) + "}"
 _LOOK = "nfc_normalize(list_reduce(list_transform(string_split(concat(volume, '/', path), ''), lambda c: coalesce(m[c], c)), lambda a, b: a || b))"
 _LOOKS = f"WITH shown AS (SELECT {_SHOWN} AS m), l AS (SELECT entry_id, concat(volume, '/', path) AS text, {_LOOK} AS look FROM fs_entries, shown)\n"
@@ -115,6 +130,7 @@ SQL = {
     "p3_found": _COUNTS + "SELECT term, mark FROM c WHERE mark IS NOT NULL",
     "p3_counts": _COUNTS + "SELECT * FROM c",
     "p7_found": f"WITH d AS ({_RUNS.format('doc_id', 'documents')}), i AS (SELECT DISTINCT * FROM ({_RUNS.format('item_id', 'eval_items')})) SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (run)",
+    "p7_leaks": _LEAKS,
     "p5_found": _KEYS + "SELECT keep_id, line_id FROM k JOIN g USING (key) WHERE line_id <> keep_id",
     "p5_records": _KEYS + "SELECT key, lines, keep_id FROM g",
     "p5_batches": _KEYS + "SELECT key, lines, keep_id FROM g",

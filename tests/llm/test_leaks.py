@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from conftest import rows
 
 from catalens.llm import leaks as L
@@ -50,6 +51,28 @@ def test_exact_runs_are_all_found(spark):
     assert rows(got) == rows(L.leaks(d, i, bound=1))  # the joined way gives the same
 
 
+def test_joined_way_drops_windows_of_no_item(spark):
+    docs, items = corpus()
+    d, i = frames(spark, docs, items)
+    windows = i.selectExpr("item_id as key", "text").mapInPandas(L._windows(None), "key long, h long, m int, at long")
+    held = L._filter(windows)
+    kept = d.selectExpr("doc_id as key", "text").mapInPandas(L._windows(held), "key long, h long, m int, at long").count()
+    every = d.selectExpr("doc_id as key", "text").mapInPandas(L._windows(None), "key long, h long, m int, at long").count()
+    own = set(windows.select("h", "m").distinct().collect())
+    real = sum((r.h, r.m) in own for r in d.selectExpr("doc_id as key", "text").mapInPandas(L._windows(None), "key long, h long, m int, at long").collect())
+    assert real <= kept <= real + 5 and kept < every / 5
+
+
+@pytest.mark.parametrize("part,least", [(0.05, 0.99), (0.1, 0.97), (0.15, 0.9)])
+def test_recall_of_substituted_passages(spark, part, least):
+    rnd = random.Random(int(part * 100))
+    items = [(i, " ".join(rnd.choices([f"v{k}" for k in range(5000)], k=40))) for i in range(400)]
+    docs = [(i, "a b c " + " ".join(f"new{rnd.randrange(10**9)}" if rnd.random() < part else w for w in t.split()) + " d") for i, t in items]
+    d, i = frames(spark, docs, items)
+    found = L.leaks(d, i).where("doc_id = item_id").count()
+    assert found / len(items) >= least, found
+
+
 def test_substitutions_are_tolerated(spark):
     w = WORDS[:40]
     changed = [x if k % 9 else "new" for k, x in enumerate(w)]
@@ -81,3 +104,16 @@ def test_masks_ignore_positions():
             b = a.copy()
             b[k] = 99
             assert (L.seed_hashes(a, mask) == L.seed_hashes(b, mask)).all() == (on == "0")
+
+
+def test_queries_meet_their_sql(spark):
+    import duckdb
+
+    from catalens.llm import queries
+
+    d = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    for name in ("documents", "eval_items"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{d}/{name}.parquet'")
+    df = queries.QUERIES["p7_leaks"](spark, d)
+    assert rows(df) == sorted(db.execute(f"SELECT {', '.join(df.columns)} FROM ({queries.SQL['p7_leaks']})").fetchall(), key=repr) and df.count()
