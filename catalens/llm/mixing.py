@@ -1,31 +1,34 @@
 """Mixing sources to target weights with a low-discrepancy schedule (problem 8).
 
-The mixture is a sequence of slots of ``block_tokens`` tokens each. Slot n belongs to the source whose stretch of the
-cumulative target shares holds the golden-ratio point ``frac((n + 0.5) * 0.618...)``; such points fill the line evenly, so
-after any number of slots every source has had its share to within a few slots, and no random draw is needed. Slots are
-ranked per source. Each source's documents are put in a hashed order and laid out one after the other; block b takes those
-that begin within its ``block_tokens`` tokens. Slot rank r of a source with B blocks takes block ``r mod B`` as copy
-``r div B``; from ``max_copies`` on it stays empty, which is how a source that is too small falls short.
-
-The sum of all slots is ``total_tokens``, by default the tokens of all documents whose source has a target. Reached shares
-are reported against that total and against what was selected.
-
-At scale: token counts are computed once and written; sums run over hash buckets of each source and only bucket totals meet
-in one place, so a source with a third of all rows is cut into buckets like any other; slots are ranked the same way.
-
-Documents without source, target or tokens, and null ids, can't be selected. Null or non-positive shares count as 0, null
-copies as 1; repeated targets of a source are added up, their copies maximised. Repeated ids are separate documents. A text
-longer than a block fills its block alone and beyond; the blocks it covers stay empty.
+The mixture is a sequence of slots of ``block`` tokens each. Slot n belongs to the source whose stretch of the cumulative
+target shares holds the golden-ratio point ``frac((n + 0.5) * 0.618...)``; such points fill the line evenly, so after any
+number of slots every source has had its share to within a few slots, and no random draw is needed. Slots are ranked per
+source. Each source's documents are put in a hashed order and laid out one after the other, and the line of their tokens is
+cut into blocks of equal size; a document that crosses an edge is in both blocks with its parts, as when sequences for
+training are packed, and a long text fills as many blocks as it has tokens for. Slot rank r of a source with B blocks takes
+block ``r mod B`` as copy ``r div B``; from ``max_copies`` on it stays empty, which is how a source that is too small falls
+short.
+
+The sum of all slots is ``total``, by default the tokens of all documents whose source has a target; or, with ``fit``, the
+largest total at which no source that has documents falls short, so that the target shares hold among these. Reached shares
+are reported against the total and against what was selected.
+
+At scale: sizes are counted once and written; sums run over hash buckets of each source and only bucket totals meet in one
+place, so a source with a third of all rows is cut into buckets like any other; slots are ranked the same way. Points find
+their source by an equi-join on cells of the line, whatever the number of sources.
+
+Documents without source, target or size, and null ids, can't be selected. Null or non-positive shares count as 0, null
+copies as 1; repeated targets of a source are added up, their copies maximised. Repeated ids are separate documents.
 """
 
 from __future__ import annotations
 
 import base64
-import importlib.util
 import os
 import re
 from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 from catalens.session import small, spread, written
 
 GOLDEN = 0.6180339887498949
-BLOCK_TOKENS, BUCKET_TOKENS, SLOT_CHUNK = 8192, 1 << 24, 1 << 16
+BLOCK_TOKENS, BUCKET_TOKENS, SLOT_CHUNK, CELLS = 8192, 1 << 24, 1 << 16, 4096
 VOCABULARY = "byte_bpe_50k.tiktoken"
 # Fixed value: the split pattern published with this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -44,12 +47,10 @@ _CUT = re.compile(r" (?=\S)")
 
 
 def tokenizer_path(name: str = VOCABULARY) -> str:
-    """The folder is the environment's ``CATALENS_TOKENIZERS``, else that of the installed package, else /opt/tokenizers."""
-    where = os.environ.get("CATALENS_TOKENIZERS")
-    if not where:
-        spec = importlib.util.find_spec("public_tokenizers")
-        where = str(Path(spec.origin).parent) if spec and spec.origin else "/opt/tokenizers"
-    return str(Path(where) / name)
+    """Where the vocabulary file is: in the folder that the environment's ``CATALENS_TOKENIZERS`` names, else in
+    /opt/tokenizers. Any byte-pair vocabulary in the format of tiktoken will do: a token in base 64 and its rank in each line;
+    the default is the one of 50,257 tokens that was published with GPT-2."""
+    return str(Path(os.environ.get("CATALENS_TOKENIZERS", "/opt/tokenizers")) / name)
 
 
 class _Lengths(dict):
@@ -95,8 +96,14 @@ def clean_targets(targets: DataFrame) -> DataFrame:
     return rows.withColumn("share", F.col("share") / F.sum("share").over(W.partitionBy(F.lit(1))))
 
 
-def blocks(counted: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """``counted`` with ``begin``, the tokens of its source before it, and ``block``."""
+def with_sizes(docs: DataFrame, size: str) -> DataFrame:
+    """``(doc_id, source, tokens)`` with a size that the table has instead of counted tokens."""
+    rows = docs.where("doc_id is not null and source is not null").select(F.col("doc_id").cast("long"), "source", F.col(size).cast("long").alias("tokens"))
+    return rows.where("tokens > 0")
+
+
+def laid_out(counted: DataFrame, targets: DataFrame) -> DataFrame:
+    """``counted`` with ``begin``, the tokens of its source before it."""
     total = counted.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     parts = max(8, -(-total // BUCKET_TOKENS))
     rows = counted.join(F.broadcast(targets.select("source")), "source", "left_semi") if small(targets) else counted.join(targets.select("source"), "source", "left_semi")
@@ -105,56 +112,89 @@ def blocks(counted: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOK
     before = sums.withColumn("base", F.sum("n").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")).drop("n")
     inside = F.sum("tokens").over(W.partitionBy("source", "part").orderBy("h", "doc_id", "tokens").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("tokens")
     placed = rows.withColumn("inside", inside).join(before, ["source", "part"]).withColumn("begin", F.col("base") + F.col("inside"))
-    return placed.select("doc_id", "source", "tokens", "begin", F.floor(F.col("begin") / block_tokens).alias("block"))
+    return placed.select("doc_id", "source", "tokens", "begin")
+
+
+def blocks(laid: DataFrame, block: int = BLOCK_TOKENS) -> DataFrame:
+    """``(source, block, doc_id, first, tokens)``: the parts of documents that each block holds; ``first`` is the place in the
+    document."""
+    end = F.col("begin") + F.col("tokens")
+    cut = laid.select("source", "doc_id", "begin", end.alias("end"), F.explode(F.sequence(F.expr(f"begin div {block}"), F.expr(f"(begin + tokens - 1) div {block}"))).alias("block"))
+    a, z = F.greatest("begin", F.col("block") * block), F.least("end", (F.col("block") + 1) * block)
+    return cut.select("source", "block", "doc_id", (a - F.col("begin")).alias("first"), (z - a).alias("tokens"))
 
 
 def schedule(targets: DataFrame, slots: int) -> DataFrame:
     """``(slot, source, rank)``: which source each slot belongs to and its how-manieth slot that is."""
     spark = targets.sparkSession
     upto = F.sum("share").over(W.partitionBy(F.lit(1)).orderBy("source"))
-    ranges = targets.select("source", "share", upto.alias("z")).select("source", (F.col("z") - F.col("share")).alias("a"), "z").where("a < z")
-    names = [(r.source, r.z) for r in ranges.orderBy("z").collect()]  # one row per source of the targets, which are a setting
-    if not names:
-        return spark.createDataFrame([], "slot long, source string, rank long")
+    top = F.sum("share").over(W.partitionBy(F.lit(1)))
+    # the last stretch ends at 1, whatever the sum of the rounded shares is
+    ranges = targets.select("source", "share", upto.alias("z"), top.alias("t")).select("source", (F.col("z") - F.col("share")).alias("a"), F.when(F.col("z") >= F.col("t"), 1.0).otherwise(F.col("z")).alias("z"), "share").where("share > 0")
+    ranges = ranges.withColumn("a", F.coalesce(F.lag("z").over(W.partitionBy(F.lit(1)).orderBy("z", "source")), F.lit(0.0)))
+    cells = ranges.select("source", "a", "z", F.explode(F.sequence(F.floor(F.col("a") * CELLS), F.floor(F.col("z") * CELLS))).alias("cell"))
+    cells = F.broadcast(cells) if small(cells) else cells
     point = F.pmod((F.col("id") + 0.5) * GOLDEN, F.lit(1.0))
-    pick = F.lit(names[-1][0])
-    for source, z in reversed(names[:-1]):
-        pick = F.when(F.col("point") < z, source).otherwise(pick)
-    drawn = spark.range(slots).select(F.col("id").alias("slot"), point.alias("point"), F.floor(F.col("id") / SLOT_CHUNK).alias("chunk")).select("slot", "chunk", pick.alias("source"))
+    points = spark.range(slots).select(F.col("id").alias("slot"), point.alias("point"), F.floor(F.col("id") / SLOT_CHUNK).alias("chunk"), F.floor(point * CELLS).alias("cell"))
+    drawn = points.join(cells, "cell").where("a <= point and point < z").select("slot", "chunk", "source")
     sums = drawn.groupBy("source", "chunk").count()
     before = sums.select("source", "chunk", (F.sum("count").over(W.partitionBy("source").orderBy("chunk").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("count")).alias("base"))
     inside = F.row_number().over(W.partitionBy("source", "chunk").orderBy("slot")) - 1
     return drawn.withColumn("inside", inside).join(before, ["source", "chunk"]).select("slot", "source", (F.col("base") + F.col("inside")).alias("rank"))
 
 
-def mixture(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, block_tokens: int = BLOCK_TOKENS, path: str | None = None) -> DataFrame:
-    """``(slot, source, copy, doc_id, tokens)``: the selection in the order of its slots, one row per use of a document."""
-    return _mixed(docs, targets, total_tokens, block_tokens, path)[0]
+class Plan(NamedTuple):
+    """What a mixture is made from."""
+
+    goals: DataFrame
+    laid: DataFrame
+    available: DataFrame
+    total: int
+    block: int
+
+
+def planned(docs: DataFrame, targets: DataFrame, total: int | None = None, block: int = BLOCK_TOKENS, path: str | None = None, fit: bool = False, size: str | None = None) -> Plan:
+    """``total``: size of the mixture; ``fit``: no larger than all sources with documents can fill; ``size``: a column that
+    has the documents' sizes, for tokens to be counted in otherwise."""
+    goals = written(clean_targets(targets), "targets")
+    counted = with_sizes(docs, size) if size else written(with_tokens(docs, path), "tokens")
+    laid = written(laid_out(counted, goals), "laid-out")
+    available = laid.groupBy("source").agg(F.sum("tokens").alias("available"))
+    want = total if total is not None else laid.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    if fit:
+        most = available.join(goals, "source").where("share > 0 and copies > 0").agg(F.min(F.floor(F.col("available") * F.col("copies") / F.col("share")))).first()[0]
+        want = min(want, most or 0)
+    return Plan(goals, laid, available, want, block)
+
+
+def _used(plan: Plan) -> DataFrame:
+    """The slots that are filled: ``slot, source, block, copy``."""
+    slots = schedule(plan.goals, -(-plan.total // plan.block))
+    held = slots.join(plan.available.join(plan.goals, "source"), "source").withColumn("blocks", F.expr(f"(available + {plan.block - 1}) div {plan.block}"))
+    return held.select("slot", "source", F.pmod("rank", "blocks").alias("block"), F.expr("rank div blocks").alias("copy"), "copies").where("copy < copies")
+
+
+def mixed(plan: Plan) -> DataFrame:
+    return _used(plan).join(blocks(plan.laid, plan.block), ["source", "block"]).select("slot", "source", F.col("copy").cast("int").alias("copy"), "doc_id", "first", "tokens")
 
 
-def _mixed(docs: DataFrame, targets: DataFrame, total_tokens: int | None, block_tokens: int, path: str | None) -> tuple[DataFrame, int]:
-    """The selection and the total that was aimed at."""
-    goals = clean_targets(targets)
-    counted = written(with_tokens(docs, path), "tokens")
-    laid = written(blocks(counted, goals, block_tokens), "blocks")
-    per_source = laid.groupBy("source").agg(F.max("block").alias("last"), F.sum("tokens").alias("available"))
-    want = total_tokens if total_tokens is not None else laid.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    slots = schedule(goals, -(-want // block_tokens))
-    held = slots.join(per_source.join(goals, "source"), "source").withColumn("blocks", F.col("last") + 1)
-    held = held.select("slot", "source", F.pmod("rank", "blocks").alias("block"), F.floor(F.col("rank") / F.col("blocks")).alias("copy"), "copies").where("copy < copies")
-    return held.join(laid, ["source", "block"]).select("slot", "source", F.col("copy").cast("int").alias("copy"), "doc_id", "tokens"), want
+def mixture(docs: DataFrame, targets: DataFrame, **how) -> DataFrame:
+    """``(slot, source, copy, doc_id, first, tokens)``: the selection in the order of its slots, one row per part of a
+    document, which begins at its token ``first``. Settings as in :func:`planned`."""
+    return mixed(planned(docs, targets, **how))
 
 
-def shares(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, block_tokens: int = BLOCK_TOKENS, path: str | None = None) -> DataFrame:
+def shares(docs: DataFrame, targets: DataFrame, **how) -> DataFrame:
     """One row per source of the targets: what it should hold (``target_tokens`` of the total) and what it holds, as part
-    of the total that was aimed at (``share_of_total``) and of what was selected (``reached_share``)."""
-    chosen, want = _mixed(docs, targets, total_tokens, block_tokens, path)
-    chosen = written(chosen, "mixture")
-    got = chosen.groupBy("source").agg(F.sum("tokens").alias("selected_tokens"), F.count("*").alias("selected_rows"), F.max(F.col("copy") + 1).alias("most_copies"))
+    of the total that was aimed at (``share_of_total``) and of what was selected (``reached_share``). Sums are made from the
+    blocks that the slots take; no document is looked at again."""
+    plan = planned(docs, targets, **how)
+    sizes = F.least(F.lit(plan.block), F.col("available") - F.col("block") * plan.block)
+    got = _used(plan).join(plan.available, "source").groupBy("source").agg(F.sum(sizes).alias("selected_tokens"), F.count("*").alias("selected_blocks"), F.max(F.col("copy") + 1).alias("most_copies"))
     all_tokens = F.sum("selected_tokens").over(W.partitionBy(F.lit(1)))
-    rows = clean_targets(targets).join(got, "source", "left").na.fill(0, ["selected_tokens", "selected_rows", "most_copies"])
+    rows = plan.goals.join(got, "source", "left").na.fill(0, ["selected_tokens", "selected_blocks", "most_copies"])
     part = lambda n: F.when(n > 0, F.col("selected_tokens") / n).otherwise(0.0)
     return rows.select(
-        "source", F.col("share").alias("target_share"), F.col("copies").alias("max_copies"), F.round(F.col("share") * want).cast("long").alias("target_tokens"), "selected_tokens", "selected_rows", "most_copies",
-        part(F.lit(want)).alias("share_of_total"), part(all_tokens).alias("reached_share"),
+        "source", F.col("share").alias("target_share"), F.col("copies").alias("max_copies"), F.round(F.col("share") * plan.total).cast("long").alias("target_tokens"), "selected_tokens", "selected_blocks", "most_copies",
+        part(F.lit(plan.total)).alias("share_of_total"), part(all_tokens).alias("reached_share"),
     )

@@ -78,6 +78,16 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
+def p8_chars(spark: SparkSession, d: str) -> DataFrame:
+    """Shares in characters, a size that the table has."""
+    return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"), size="n_chars")
+
+
+def p8_fitted(spark: SparkSession, d: str) -> DataFrame:
+    """The same for the largest total at which all sources with documents reach their shares."""
+    return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"), size="n_chars", fit=True)
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return pii.found(table(spark, d, "documents"))
 
@@ -102,6 +112,18 @@ _KEYS += "g AS (SELECT key, count(*) AS lines, min(line_id) AS keep_id FROM k GR
 
 _RUNS = "SELECT {0}, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS run FROM (SELECT {0}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM {1} WHERE text IS NOT NULL)"
 
+_MIX = f"""
+WITH t AS (SELECT source, sum(greatest(coalesce(target_share, 0), 0)) AS share, greatest(max(coalesce(max_copies, 1)), 0) AS copies FROM mix_targets WHERE source IS NOT NULL GROUP BY source),
+g AS (SELECT source, share / sum(share) OVER () AS share, copies FROM t),
+r AS (SELECT source, coalesce(lag(z) OVER (ORDER BY z, source), 0.0) AS a, z FROM (SELECT source, CASE WHEN sum(share) OVER (ORDER BY source) >= sum(share) OVER () THEN 1.0 ELSE sum(share) OVER (ORDER BY source) END AS z FROM g WHERE share > 0)),
+c AS (SELECT source, CAST(sum(n_chars) AS BIGINT) AS available FROM documents SEMI JOIN g USING (source) WHERE doc_id IS NOT NULL AND n_chars > 0 GROUP BY source),
+n AS (SELECT {{0}} AS total, {mixing.BLOCK_TOKENS} AS b),
+p AS (SELECT (i + 0.5::DOUBLE) * {mixing.GOLDEN}::DOUBLE % 1 AS x FROM n, unnest(range(0, CAST((total + b - 1) // b AS BIGINT))) AS s(i)),
+s AS (SELECT source, count(*) AS slots FROM p JOIN r ON r.a <= p.x AND p.x < r.z GROUP BY source),
+u AS (SELECT source, least(slots, (available + b - 1) // b * copies) AS used, (available + b - 1) // b AS blocks, available, b FROM s JOIN c USING (source) JOIN g USING (source), n),
+f AS (SELECT source, CAST(used // blocks * available + used % blocks * b AS BIGINT) AS got, CAST(used AS BIGINT) AS used, CAST((used + blocks - 1) // blocks AS BIGINT) AS most FROM u WHERE used > 0)
+SELECT source, share AS target_share, copies AS max_copies, CAST(round(share * total) AS BIGINT) AS target_tokens, coalesce(got, 0) AS selected_tokens, coalesce(used, 0) AS selected_blocks, coalesce(most, 0) AS most_copies,
+coalesce(got, 0) / total AS share_of_total, coalesce(got, 0) / sum(got) OVER () AS reached_share FROM g LEFT JOIN f USING (source), n"""
 _W = "(SELECT {0}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM {1} WHERE text IS NOT NULL)"
 _KEY = lambda mask: "concat_ws(' ', " + ", ".join(f"w[i + {k + 1}]" for k, on in enumerate(mask) if on == "1") + ")"
 _WINDOWS = lambda key, source: " UNION ALL ".join(f"SELECT {key}, {m} AS m, unnest(list_transform(range(0, len(w) - {leaks.SPAN - 1}), lambda i: {{'p': i, 'k': {_KEY(mask)}}}), recursive := true) FROM {source}" for m, mask in enumerate(leaks.MASKS))
@@ -121,7 +143,7 @@ _SHOWN = "MAP {" + ", ".join(f"'{c}': " + "'" + v.replace("'", "''") + "'" for c
 _LOOK = "nfc_normalize(list_reduce(list_transform(string_split(concat(volume, '/', path), ''), lambda c: coalesce(m[c], c)), lambda a, b: a || b))"
 _LOOKS = f"WITH shown AS (SELECT {_SHOWN} AS m), l AS (SELECT entry_id, concat(volume, '/', path) AS text, {_LOOK} AS look FROM fs_entries, shown)\n"
 
-QUERIES = {"p2_found": p2_found, "p2_weights": p2_weights, "p3_found": p3_found, "p3_counts": p3_counts, "p4_found": p4_found, "p4_canonical": p4_canonical, "p4_classes": p4_classes, "p5_found": p5_found, "p5_records": p5_records, "p5_batches": p5_batches, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_masked": p9_masked}
+QUERIES = {"p2_found": p2_found, "p2_weights": p2_weights, "p3_found": p3_found, "p3_counts": p3_counts, "p4_found": p4_found, "p4_canonical": p4_canonical, "p4_classes": p4_classes, "p5_found": p5_found, "p5_records": p5_records, "p5_batches": p5_batches, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_chars": p8_chars, "p8_fitted": p8_fitted, "p9_found": p9_found, "p9_masked": p9_masked}
 SQL = {
     "p4_found": _LOOKS + "SELECT a.entry_id AS entry_id_a, b.entry_id AS entry_id_b FROM l a JOIN l b ON a.look = b.look AND a.text <> b.text AND a.entry_id < b.entry_id",
     "p4_classes": _LOOKS + ", c AS (SELECT look, min(entry_id) AS class_id, count(DISTINCT text) AS spellings FROM l GROUP BY look HAVING count(DISTINCT text) > 1) SELECT entry_id, class_id, spellings FROM l JOIN c USING (look)",
@@ -131,6 +153,8 @@ SQL = {
     "p3_counts": _COUNTS + "SELECT * FROM c",
     "p7_found": f"WITH d AS ({_RUNS.format('doc_id', 'documents')}), i AS (SELECT DISTINCT * FROM ({_RUNS.format('item_id', 'eval_items')})) SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (run)",
     "p7_leaks": _LEAKS,
+    "p8_chars": _MIX.format("CAST((SELECT sum(available) FROM c) AS BIGINT)"),
+    "p8_fitted": _MIX.format("CAST(least((SELECT sum(available) FROM c), (SELECT min(floor(available * copies / share)) FROM c JOIN g USING (source) WHERE share > 0 AND copies > 0)) AS BIGINT)"),
     "p5_found": _KEYS + "SELECT keep_id, line_id FROM k JOIN g USING (key) WHERE line_id <> keep_id",
     "p5_records": _KEYS + "SELECT key, lines, keep_id FROM g",
     "p5_batches": _KEYS + "SELECT key, lines, keep_id FROM g",
