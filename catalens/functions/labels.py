@@ -57,9 +57,24 @@ def time_label(micros: Column) -> Column:
     return F.coalesce(shown, F.lit("N/A"))
 
 
+def _two_places(n: Column, unit: int) -> Column:
+    """``n / unit`` with two decimal places, rounded as the double it is: halves go up or down by what that double is above or
+    below them, and to the even neighbour if it is neither. In whole numbers, as the JVM's formatter rounds the shortest
+    decimal form of a double instead."""
+    n = n.cast("long")
+    part = F.pmod(n * 100, F.lit(unit))
+    cents, rest = F.round((n * 100 - part) / unit).cast("long"), 2 * part
+    x = n.cast("double") / unit
+    high = x.cast("float").cast("double")  # both parts times the unit are exact, so the sign of their sum is
+    error = (high * unit - n.cast("double")) + (x - high) * unit
+    up = F.when(rest != unit, rest > unit).when(error != 0, error > 0).otherwise(cents % 2 == 1)
+    cents = cents + up.cast("long")
+    return F.concat(F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+
+
 def micros_label(us: Column) -> Column:
-    return F.when(us < 1000, F.concat(us.cast("string"), F.lit("µs"))).when(us < 1_000_000, F.format_string("%.2fms", us / 1000.0)).otherwise(F.format_string("%.2fs", us / 1_000_000.0))
+    return F.when(us < 1000, F.concat(us.cast("string"), F.lit("µs"))).when(us < 1_000_000, F.concat(_two_places(us, 1000), F.lit("ms"))).otherwise(F.concat(_two_places(us, 1_000_000), F.lit("s")))
 
 
 def millis_label(ms: Column) -> Column:
-    return F.when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms"))).when(ms < 60_000, F.format_string("%.2fs", ms / 1000.0)).otherwise(F.format_string("%.2fm", ms / 60_000.0))
+    return F.when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms"))).when(ms < 60_000, F.concat(_two_places(ms, 1000), F.lit("s"))).otherwise(F.concat(_two_places(ms, 60_000), F.lit("m")))

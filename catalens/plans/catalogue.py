@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from catalens.functions import labels as L
 from catalens.functions import tokens as K
-from catalens.model import Category, Kind, ScoringConfig, SearchOptions, VolumeType
+from catalens.model import Category, CompactorConfig, Entry, Kind, ScoringConfig, SearchOptions, VolumeType
 from catalens.operators import filters, search, stats
 from catalens.operators import postings as P
 from catalens.operators.live import live_view, reduced_tombstones, without_killed
@@ -84,7 +84,7 @@ def tombstones_reduced(spark: SparkSession, d: str) -> DataFrame:
 def delete_point(spark: SparkSession, d: str) -> DataFrame:
     """The listed paths deleted after all ops."""
     ops = table(spark, d, "fs_oplog")
-    last = ops.agg(F.max("seq")).first()[0]
+    last = ops.agg(F.max("seq")).first()[0] or 0
     gone = table(spark, d, "fs_entries").select("path").distinct().select("path", F.lit("").alias("volume"), *[F.lit(0).alias(c) for c in ("kind", "last_modified", "last_accessed", "category", "volume_type")], F.lit(last + 1).alias("seq"), F.lit(True).alias("is_delete"))
     return live_view(ops.select(*gone.columns).unionByName(gone), table(spark, d, "fs_tombstones"))
 
@@ -110,17 +110,78 @@ def compact_equiv(spark: SparkSession, d: str) -> DataFrame:
     return c.live().select(*ENTRY.split(", "), "seq")
 
 
-@query(sql.NEWEST + f"SELECT {ENTRY}, seq FROM newest WHERE NOT is_delete")
+def _split_by_arrival(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What arrived in the first half of the time, and the rest; rows without time are in the rest."""
+    low, high = df.select(F.unix_micros(F.col("arrived_at").cast("timestamp")).alias("t")).agg(F.min("t"), F.max("t")).first()
+    early = F.coalesce(F.unix_micros(F.col("arrived_at").cast("timestamp")) <= ((low or 0) + (high or 0)) // 2, F.lit(False))
+    return df.where(early), df.where(~early)
+
+
+@query(sql.LIVE + f"SELECT {ENTRY}, seq FROM live")
+def late_after_compaction(spark: SparkSession, d: str) -> DataFrame:
+    """Everything merged halfway; what comes late then meets the delete markers and prefix deletes that were merged."""
+    c = Catalog(spark, run_dir(spark, "catalog"))
+    ops, tombs = _split_by_arrival(table(spark, d, "fs_oplog")), _split_by_arrival(table(spark, d, "fs_tombstones"))
+    for i in (1, 0):  # the later half first, so that older ops come after their deletes
+        c.append_ops(ops[i])
+        c.add_tombstones(tombs[i])
+        c.force_compact_all()
+    return c.live().select(*ENTRY.split(", "), "seq")
+
+
+_FIRST = "first AS (SELECT * FROM fs_entries QUALIFY row_number() OVER (PARTITION BY path ORDER BY entry_id) = 1)"
+
+
+def _first_entries(spark: SparkSession, d: str) -> DataFrame:
+    """The listed entries, of repeated paths the first."""
+    rows = table(spark, d, "fs_entries")
+    best = rows.groupBy("path").agg(F.min(F.struct("entry_id", *[c for c in rows.columns if c not in ("path", "entry_id")])).alias("r"))
+    return best.select("path", "r.*").select(*ENTRY.split(", "))
+
+
+@query(f"WITH {_FIRST} SELECT {ENTRY} FROM first WHERE lower(path) <> '/srv/shared' AND NOT starts_with(lower(path), '/srv/shared/') AND NOT (volume = 'vol1' AND starts_with(lower(path), '/home/')) AND path NOT IN (SELECT path FROM first ORDER BY path LIMIT 3)")
+def two_handles(spark: SparkSession, d: str) -> DataFrame:
+    """One handle inserts, another that was opened before deletes."""
+    where = run_dir(spark, "catalog")
+    a, b = Catalog(spark, where), Catalog(spark, where)
+    entries = _first_entries(spark, d)
+    a.insert_batch(entries)
+    b.delete_prefix("/srv/shared")
+    b.delete_by_volume_name("vol1", "/home")
+    for r in entries.select("path").orderBy("path").limit(3).collect():
+        b.delete(r.path)
+    b.sync()
+    return a.live().select(*ENTRY.split(", "))
+
+
+@query(sql.LIVE + f"SELECT {ENTRY} FROM live WHERE NOT starts_with(lower(path), '/home/') AND path NOT IN (SELECT path FROM live ORDER BY path LIMIT 2) UNION ALL SELECT '/home/new.txt', 'vol1', 0, 5, 5, 32, 0")
+def delete_after_append(spark: SparkSession, d: str) -> DataFrame:
+    """Deletes by a handle count after ops with sequences of their own, an insert after the deletes too."""
+    c = _loaded(spark, d)
+    first = c.live().select("path").orderBy("path").limit(2).collect()
+    for r in first:
+        c.delete(r.path)
+    c.delete_prefix("/home")
+    c.insert(Entry("/home/new.txt", "vol1", Kind.FILE, 5, 5, Category.TEXT, VolumeType.LOCAL))
+    c.sync()
+    return c.live().select(*ENTRY.split(", "))
+
+
+@query(sql.LIVE + f"SELECT {ENTRY}, seq FROM live")
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
-    """The op log as a stream of files, into a catalogue."""
-    from catalens.schemas import OPLOG_SCHEMA
-    from catalens.streaming.ingest import ingest, oplog_stream
+    """The op log and its prefix deletes as two streams of files into a catalogue, late ops after newer ones, with merges in
+    between."""
+    from catalens.schemas import OPLOG_SCHEMA, TOMB_SCHEMA
+    from catalens.streaming.ingest import ingest, ingest_tombstones, oplog_stream, tombstone_stream
 
     source, where = run_dir(spark, "stream-in"), run_dir(spark, "stream")
-    ops = table(spark, d, "fs_oplog").select(*[F.col(f.name).cast(f.dataType) for f in OPLOG_SCHEMA.fields])
-    ops.repartition(6).write.parquet(source)
-    c = Catalog(spark, f"{where}/catalog")
-    ingest(c, oplog_stream(spark, source, 2), f"{where}/checkpoint").awaitTermination()
+    shaped = lambda name, schema: table(spark, d, name).select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+    # hashed to files, so that each holds old and new ops of all paths
+    shaped("fs_oplog", OPLOG_SCHEMA).repartition(8, "seq").write.parquet(f"{source}/ops")
+    shaped("fs_tombstones", TOMB_SCHEMA).repartition(2, "seq").write.parquet(f"{source}/tombs")
+    c = Catalog(spark, f"{where}/catalog", CompactorConfig(min_merge_count=2))
+    ingest_tombstones(c, tombstone_stream(spark, f"{source}/tombs", 1), f"{where}/deletes").awaitTermination()
+    ingest(c, oplog_stream(spark, f"{source}/ops", 2), f"{where}/checkpoint").awaitTermination()
     return c.live().select(*ENTRY.split(", "), "seq")
 
 
@@ -133,17 +194,17 @@ def tokenize_ascii(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "fs_entries").select("entry_id", F.array_join(K.ascii_tokens(F.col("path")), " ").alias("tokens"))
 
 
-@query()
+@query(f"WITH {sql.NFKC} SELECT entry_id, array_to_string({sql.tokens('path')}, ' ') AS tokens FROM fs_entries, m")
 def tokenize_unicode(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "fs_entries").select("entry_id", F.array_join(K.tokens(F.col("path")), " ").alias("tokens"))
 
 
-@query()
+@query(f"WITH {sql.NFKC} SELECT doc_id, array_to_string({sql.tokens('text')}, ' ') AS tokens FROM documents, m")
 def tokenize_documents(spark: SparkSession, d: str) -> DataFrame:
-    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", K.tokens(F.col("text")).alias("tokens"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.array_join(K.tokens(F.col("text")), " ").alias("tokens"))
 
 
-@query()
+@query(f"SELECT entry_id, {sql.folded('path')} AS folded FROM fs_entries")
 def fold_unicode(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "fs_entries").select("entry_id", K.folded(F.col("path")).alias("folded"))
 
@@ -206,9 +267,9 @@ def labels_format(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "fs_entries").select("entry_id", L.kind_label(F.col("kind")).alias("kind_label"), L.category_label(F.col("category")).alias("category_label"), L.time_label(F.col("last_modified")).alias("modified"))
 
 
-@query("SELECT event_id, CASE WHEN v > 20 THEN 'green' WHEN v > 10 THEN 'yellow' ELSE 'gray' END AS band, CASE WHEN n < 1000 THEN n || 'µs' WHEN n < 1000000 THEN format('{:.2f}ms', n / 1000.0) ELSE format('{:.2f}s', n / 1000000.0) END AS us, CASE WHEN n < 1000 THEN n || 'ms' WHEN n < 60000 THEN format('{:.2f}s', n / 1000.0) ELSE format('{:.2f}m', n / 60000.0) END AS ms FROM (SELECT event_id, value AS v, event_id * 4 AS n FROM events)")
+@query("SELECT event_id, CASE WHEN v > 20 THEN 'green' WHEN v > 10 THEN 'yellow' ELSE 'gray' END AS band, CASE WHEN n < 1000 THEN n || 'µs' WHEN n < 1000000 THEN format('{:.2f}ms', n / 1000.0) ELSE format('{:.2f}s', n / 1000000.0) END AS us, CASE WHEN n < 1000 THEN n || 'ms' WHEN n < 60000 THEN format('{:.2f}s', n / 1000.0) ELSE format('{:.2f}m', n / 60000.0) END AS ms FROM (SELECT event_id, value AS v, event_id * 25 AS n FROM events)")
 def durations_format(spark: SparkSession, d: str) -> DataFrame:
-    n = F.col("event_id") * 4  # a fourth of the numbers has no half in the second place
+    n = F.col("event_id") * 25  # many halves in the second place
     return table(spark, d, "events").select("event_id", L.score_band(F.col("value")).alias("band"), L.micros_label(n).alias("us"), L.millis_label(n).alias("ms"))
 
 
@@ -222,18 +283,11 @@ def posting_counts(spark: SparkSession, d: str) -> DataFrame:
     return P.posting_counts(_by_term(spark, d))
 
 
-@query()
+@query(sql.LIVE.rstrip() + f", {sql.NFKC}\n" + sql.all_terms("live"))
 def postings_build(spark: SparkSession, d: str) -> DataFrame:
     return P.postings(_live(spark, d))
 
 
-@query(sql.terms("fs_entries") + "SELECT DISTINCT term, path FROM terms WHERE regexp_full_match(term, '[a-z0-9]+')")
-def postings_plain(spark: SparkSession, d: str) -> DataFrame:
-    """Of the listed entries the terms of ASCII letters and digits only, the part of the index that SQL can build."""
-    entries = table(spark, d, "fs_entries").select("path", "volume").distinct()
-    return P.postings(entries).where(F.col("term").rlike("^[a-z0-9]+$")).distinct()
-
-
 @query(_GIVEN + "SELECT DISTINCT path FROM p WHERE starts_with(term, 'aud')")
 def term_prefix(spark: SparkSession, d: str) -> DataFrame:
     return P.match_all(_by_term(spark, d), parse("aud"), SearchOptions(), 500)
@@ -317,7 +371,7 @@ def search_custom_score(spark: SparkSession, d: str) -> DataFrame:
     return _search(spark, d, "draft", 20, 0, SearchOptions(scoring=longest))
 
 
-@query()
+@query(sql.search("отчёт", 50, 0, NOW))
 def search_unicode(spark: SparkSession, d: str) -> DataFrame:
     return _search(spark, d, "отчёт", 50)
 
@@ -330,6 +384,26 @@ def catalog_search(spark: SparkSession, d: str) -> DataFrame:
     return c.search("notes", 10, now_micros=NOW).withColumn("score", F.round("score", 6))
 
 
+def _generations(spark: SparkSession, d: str) -> Catalog:
+    """A catalogue of eight generations that no merge has touched."""
+    c, ops = Catalog(spark, run_dir(spark, "catalog")), table(spark, d, "fs_oplog")
+    for i in range(8):
+        c.append_ops(ops.where(F.pmod(F.xxhash64("rec_id"), F.lit(8)) == i))
+    c.add_tombstones(table(spark, d, "fs_tombstones"))
+    return c
+
+
+@query(sql.search("draft", 50, 0, NOW, "volume = 'vol1'"))
+def catalog_search_generations(spark: SparkSession, d: str) -> DataFrame:
+    """A search on one volume of a catalogue that isn't merged: versions are resolved for the paths found only."""
+    return _generations(spark, d).search("draft", 50, 0, SearchOptions(volume_name="vol1"), NOW).withColumn("score", F.round("score", 6))
+
+
+@query(_RECENT.format(SINCE, "AND category & 2 <> 0", 50, 0))
+def catalog_recent_generations(spark: SparkSession, d: str) -> DataFrame:
+    return _generations(spark, d).recent_files(SINCE, 50, 0, SearchOptions(category=Category.DOCUMENT))
+
+
 # figures
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from catalens.plans.query import parse, scoring_cap
+import unicodedata
+
 from catalens.model import SearchOptions
+from catalens.plans.query import parse, scoring_cap
 
 ASCII = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 BASENAME = "string_split(rtrim(path, '/'), '/')[-1]"
@@ -35,20 +37,51 @@ _CJK = "\\x{3040}-\\x{30ff}\\x{4e00}-\\x{9fff}\\x{ac00}-\\x{d7af}\\x{1100}-\\x{1
 _BETWEEN = (("(\\p{Ll})(\\p{Lu})", "\\1 \\2"), ("(\\p{L})(\\p{N})", "\\1 \\2"), ("(\\p{N})(\\p{L})", "\\1 \\2"), (f"([{_CJK}])", " \\1 "))
 
 
-def _split(column: str) -> str:
-    return f"string_split_regex(lower(strip_accents({column})), '[^\\p{{L}}\\p{{N}}]+')"
+def _mapped(column: str, table: str) -> str:
+    return f"list_reduce(list_transform(string_split({column}, ''), lambda c: coalesce({table}[c], c)), lambda a, b: a || b)"
 
 
-def terms(source: str, first: str = "WITH") -> str:
-    """CTEs up to ``terms(path, term)``: tokens but for the endings of CJK runs, which terms in ASCII don't need. Text is
-    taken as it stands where it has full-width or compatibility forms, but these are brought to plain ones first."""
-    wide = "nfkc"
-    plain = f"list_reduce(list_transform(string_split(path, ''), lambda c: CASE WHEN ord(c) BETWEEN 65281 AND 65374 THEN chr(CAST(ord(c) - 65248 AS INTEGER)) WHEN c = chr(64257) THEN 'fi' WHEN c = chr(64259) THEN 'ffi' WHEN ord(c) = 8560 THEN 'i' WHEN ord(c) = 8572 THEN 'l' WHEN ord(c) = 8573 THEN 'c' WHEN ord(c) = 8574 THEN 'd' ELSE c END), lambda a, b: a || b)"
-    pieces = wide
+#: Compatibility characters and their plain form, by the rule of Unicode, for the blocks in which they are.
+_NFKC = {c: unicodedata.normalize("NFKC", c) for a, z in ((0xA0, 0x250), (0x2000, 0x2400), (0x2460, 0x2500), (0x3000, 0x3001), (0x3130, 0x3400), (0xFB00, 0xFB07), (0xFE30, 0xFFEF)) for c in map(chr, range(a, z)) if unicodedata.normalize("NFKC", c) != c}
+_NFKC_MAP = "MAP {" + ", ".join(f"'{c}': " + "'" + v.replace("'", "''") + "'" for c, v in _NFKC.items()) + "}"
+
+
+def folded(column: str) -> str:
+    """Decomposed, without accents, in lower case; Hangul by the arithmetic of its block."""
+    s = "(ord(c) - 44032)"
+    jamo = f"chr(CAST(4352 + {s} // 588 AS INTEGER)) || chr(CAST(4449 + {s} % 588 // 28 AS INTEGER)) || CASE WHEN {s} % 28 > 0 THEN chr(CAST(4519 + {s} % 28 AS INTEGER)) ELSE '' END"
+    return f"list_reduce(list_transform(string_split(lower(strip_accents({column})), ''), lambda c: CASE WHEN ord(c) BETWEEN 44032 AND 55203 THEN {jamo} ELSE c END), lambda a, b: a || b)"
+
+
+def tokens(column: str, nfkc: str = "m") -> str:
+    """The tokens of a text, a list sorted by bytes; ``nfkc`` is the column that holds the map of :data:`NFKC`."""
+    t = f"nfc_normalize({_mapped(column, nfkc)})"
+    letters = f"[{_CJK}]+"
+    pieces = "t"
     for pattern, to in _BETWEEN:
         pieces = f"regexp_replace({pieces}, '{pattern}', '{to}', 'g')"
-    runs = f"regexp_replace({wide}, '([{_CJK}]+)', ' \\1 ', 'g')"
-    return f"{first} plain AS (SELECT DISTINCT path, {plain} AS nfkc FROM {source}),\nterms AS (SELECT path, unnest(list_distinct(list_concat({_split(runs)}, {_split(pieces)}))) AS term FROM plain)\n"
+    split = lambda x: f"string_split_regex({x}, '[^\\p{{L}}\\p{{N}}]+')"
+    whole = f"regexp_replace(t, '({letters})', ' \\1 ', 'g')"
+    runs = f"list_filter({split(whole)}, lambda r: regexp_full_match(r, '{letters}'))"
+    endings = f"flatten(list_transform({runs}, lambda r: list_transform(range(1, length(r) + 1), lambda i: substr(r, CAST(i AS INTEGER)))))"
+    every = f"list_concat(list_concat({split(whole)}, {split(pieces)}), {endings})"
+    return f"(SELECT coalesce(list_sort(list_distinct(list_transform(list_filter({every}, lambda x: x <> ''), lambda x: {folded('x')}))), []) FROM (SELECT {t} AS t))"
+
+
+NFKC = f"m AS (SELECT {_NFKC_MAP} AS m)"
+
+
+def all_terms(source: str) -> str:
+    """A query for ``term, path``: all that entries of a table with distinct paths are indexed under."""
+    name = f"{BASENAME}"
+    return f"""SELECT DISTINCT unnest(list_filter(list_concat({tokens('path')}, [
+  CASE WHEN volume <> '' THEN chr(1) || lower(volume) END, chr(2) || lower({EXTENSION}), chr(2) || lower({HIDDEN}),
+  CASE WHEN contains({name}, '.') AND regexp_matches({name}, '^[\\p{{L}}\\p{{N}}]') THEN {folded(name)} END]), lambda x: x IS NOT NULL)) AS term, path FROM {source}, m"""
+
+
+def terms(source: str, first: str = "WITH") -> str:
+    """CTEs up to ``terms(path, term)``."""
+    return f"{first} {NFKC},\nterms AS (SELECT path, unnest({tokens('path')}) AS term FROM {source}, m)\n"
 
 
 def _text(s: str) -> str:
@@ -106,7 +139,7 @@ def _score(text: str, now: int) -> str:
 
 
 def search(text: str, limit: int, offset: int, now: int, where: str = "TRUE", score: str | None = None) -> str:
-    """A search for words in ASCII."""
+    """A search."""
     q = parse(text)
     tests = []
     for t in q.tokens:
@@ -120,7 +153,7 @@ def search(text: str, limit: int, offset: int, now: int, where: str = "TRUE", sc
         LIVE.rstrip() + terms("live", ",").rstrip() + f""",
 hit AS ({' INTERSECT '.join(tests)}),
 cand AS (SELECT * FROM live WHERE path IN (SELECT path FROM hit) AND {where} ORDER BY {PRERANK} LIMIT {cap}),
-folded AS (SELECT *, lower(strip_accents(path)) AS s, rtrim(lower(strip_accents(path)), '/') AS p FROM cand),
+folded AS (SELECT *, {folded('path')} AS s, rtrim({folded('path')}, '/') AS p FROM cand),
 ready AS (SELECT *, length(p) - length(string_split(p, '/')[-1]) AS fs FROM folded),
 scored AS (SELECT *, {score or _score(text, now)} AS exact FROM ready)
 SELECT path, volume, volume_type, kind, last_modified, last_accessed, category, round(exact, 6) AS score
