@@ -64,7 +64,8 @@ def tokenize_text(text: str) -> list[str]:
 
 
 def is_ascii(c: Column) -> Column:
-    return c.rlike("^[\\x00-\\x7f]*$")
+    """As many bytes as characters."""
+    return F.octet_length(c) == F.char_length(c)
 
 
 def _arrow(make, kind: str):

@@ -1,4 +1,4 @@
-"""Every registered query of the core against its SQL, on the smallest tables."""
+"""Every registered query of the core against its SQL, on the smallest tables on which it has rows."""
 
 from pathlib import Path
 
@@ -8,7 +8,9 @@ import pytest
 from catalens.plans import catalogue, pipeline
 from compare import canon
 
-DATA = "/root/testdata/sf0.001"
+DATA, MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+#: Queries for which the smallest tables hold no rows.
+RARE = {"search_unicode", "search_ext", "search_page2", "recent_page2", "recent_filtered", "catalog_search", "term_exact_ext", "volume_filter", "catalog_search_generations"}
 QUERIES = catalogue.QUERIES | pipeline.QUERIES
 SQL = catalogue.SQL | pipeline.SQL
 
@@ -16,14 +18,15 @@ SQL = catalogue.SQL | pipeline.SQL
 @pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables here")
 @pytest.mark.parametrize("name", QUERIES)
 def test_query(spark, name):
-    df = QUERIES[name](spark, DATA)
+    data = MORE if name in RARE else DATA
+    df = QUERIES[name](spark, data)
     cols = sorted(df.columns)
     got = canon([tuple(r) for r in df.select(*cols).collect()])
-    assert got or name in ("search_unicode", "search_ext", "search_page2", "recent_page2", "recent_filtered", "catalog_search", "term_exact_ext", "volume_filter")
+    assert got
     if name in SQL:
         db = duckdb.connect()
         db.execute("SET TimeZone='UTC'")
-        for p in Path(DATA).iterdir():
+        for p in Path(data).iterdir():
             db.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
         cur = db.execute(SQL[name])
         names = [x[0] for x in cur.description]
