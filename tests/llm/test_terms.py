@@ -115,16 +115,6 @@ def test_ledger_hot_group(spark):
     assert empty.copies(df).count() == 0 and empty.rows().count() == 0
 
 
-def test_ledger_query_in_batches(spark):
-    import duckdb
-
-    from catalens.llm import queries
-
-    d = "/root/testdata/sf0.001"
-    duckdb_rows = duckdb.connect().execute(queries.SQL["p5_batches"].replace("FROM entry_lines", f"FROM '{d}/entry_lines.parquet'")).fetchall()
-    assert rows(queries.QUERIES["p5_batches"](spark, d)) == sorted(duckdb_rows, key=repr)
-
-
 def test_ledger_buckets_follow_the_records(spark):
     """One line first, then many: buckets split, counts are kept."""
     df = spark.range(12_000).selectExpr("id as line_id", "concat('path: /p/', id % 6000, '; volume: v; kind: f') as line")
