@@ -81,12 +81,14 @@ class SearchOptions:
 @dataclass(frozen=True)
 class CompactorConfig:
     """``lateness``: how far, in sequence numbers, an op that brings its own sequence may be behind the newest; None is
-    without bound, so that merges keep all delete markers."""
+    without bound, so that merges keep all delete markers. ``background``: merge beside the writer instead of letting it
+    wait."""
 
     min_merge_count: int = 8
     flush_threshold: int = 100_000
     tombstone_threshold: int = 2_500
     lateness: int | None = None
+    background: bool = False
 
     def with_(self, **changes: int) -> CompactorConfig:
         new = replace(self, **changes)

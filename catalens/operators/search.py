@@ -18,7 +18,7 @@ from catalens.operators.filters import latest, of_options, recent_since
 from catalens.operators.postings import match_all
 from catalens.plans.query import parse, scoring_cap
 from catalens.schemas import RESULT_COLUMNS, RESULT_SCHEMA
-from catalens.session import small, written
+from catalens.session import small
 
 #: Live entries, or a function that gives those of some paths.
 Entries = DataFrame | Callable[[DataFrame], DataFrame]
@@ -36,9 +36,8 @@ def ranked(rows: DataFrame, limit: int, offset: int) -> DataFrame:
 
 
 def bounded(paths: DataFrame) -> DataFrame:
-    """Distinct paths, written once and, if a count shows at most ``BROADCAST_ROWS`` of them, sent to all tasks, so that the
-    log they are looked up in isn't shuffled."""
-    paths = written(paths, "paths")
+    """Distinct paths, sent to all tasks if a count shows at most ``BROADCAST_ROWS`` of them, so that the log they are looked up
+    in isn't shuffled. The count reads the few row groups once more that the terms are in; nothing is left behind on disk."""
     return F.broadcast(paths) if small(paths) else paths
 
 

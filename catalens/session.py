@@ -32,9 +32,13 @@ def run_dir(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: a cut of the lineage that survives lost executors."""
+    """``df`` written to the shared folder and read again: a cut of the lineage that survives lost executors. The folder is
+    deleted when the driver ends."""
     to = run_dir(df.sparkSession, name)
     df.write.parquet(to)
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(to)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
     return df.sparkSession.read.schema(df.schema).parquet(to)
 
 

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Iterable
+from concurrent.futures import Future, ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,8 @@ class Catalog:
         self.table = VersionedTable(spark, root)
         self._log = HeldLog(self.table)
         self._held: list[list] = []
+        self._pool: ThreadPoolExecutor | None = None
+        self._job: Future | None = None
         self.recover()
 
     def __enter__(self) -> Catalog:
@@ -60,6 +63,9 @@ class Catalog:
     def close(self) -> None:
         self.sync()
         self._log.close()
+        if self._pool:
+            self._pool.shutdown(wait=True)
+            self._pool = None
 
     # writing
 
@@ -172,9 +178,20 @@ class Catalog:
                 self._take_in(name, rows)
 
     def flush(self) -> None:
-        """Write what is held back and merge generations as the policy says."""
+        """Write what is held back and merge generations as the policy says, with the setting ``background`` in a thread of
+        its own."""
         self.sync()
-        self.compact()
+        if not self.config.background:
+            self.compact()
+        elif self._job is None or self._job.done():
+            self._pool = self._pool or ThreadPoolExecutor(1)
+            self._job = self._pool.submit(self._compact_beside)
+
+    def _compact_beside(self) -> bool:
+        try:
+            return self.compact()
+        except VersionConflict:
+            return False  # another writer was faster; the next flush tries again
 
     def _write(self, ops: DataFrame, state: str = "log", own: bool = False) -> dict:
         """Write a generation. ``state``: ``log``, or after a full merge ``live`` (one row per live path) and ``hidden``."""
@@ -248,40 +265,42 @@ class Catalog:
         held = self._rows_held(meta.get("next_seq", 1), kind, meta.get("logged", {}).get(self._log.name, 0))
         return stored if held is None else stored.unionByName(held)
 
-    def ops(self) -> DataFrame:
-        """All ops, held-back ones too."""
-        meta = self._meta()
+    def ops(self, meta: dict | None = None) -> DataFrame:
+        """All ops, held-back ones too. ``meta``: of the version to read, here and below; by default the newest."""
+        meta = meta or self._meta()
         return self._with_held(meta, self._ops_of(meta.get("generations", [])), "op")
 
-    def tombstones(self) -> DataFrame:
-        meta = self._meta()
+    def tombstones(self, meta: dict | None = None) -> DataFrame:
+        meta = meta or self._meta()
         return self._with_held(meta, self._numbered(meta.get("tombs", []), "folder", TOMB_SCHEMA), "tomb")
 
-    def live(self, of: DataFrame | None = None) -> DataFrame:
+    def live(self, of: DataFrame | None = None, meta: dict | None = None) -> DataFrame:
         """The live entries, or those of the paths ``of`` only: then versions are resolved for these paths alone, the rest
         of the log is left out by a semi-join before anything is aggregated. After a full compaction without later changes
         it is a plain scan."""
-        meta = self._meta()
+        meta = meta or self._meta()
         generations, tombs = meta.get("generations", []), meta.get("tombs", [])
         only = lambda rows: rows if of is None else rows.join(of, "path", "left_semi")
         if not self._held and all(g["state"] != "log" for g in generations) and all(t["applied"] for t in tombs):
             return only(self._ops_of([g for g in generations if g["state"] == "live"])).drop("is_delete")
-        return live_view(only(self.ops()), self.tombstones() if tombs or any(r[0] == "tomb" for r in self._held) else None)
+        return live_view(only(self.ops(meta)), self.tombstones(meta) if tombs or any(r[0] == "tomb" for r in self._held) else None)
 
-    def postings(self) -> DataFrame:
+    def postings(self, meta: dict | None = None) -> DataFrame:
         """The terms of all paths ever inserted since the last compaction; searches join them with the live entries."""
-        stored = self.table.read([g["terms"] for g in self._generations()], POSTING_SCHEMA)
+        meta = meta or self._meta()
+        stored = self.table.read([g["terms"] for g in meta.get("generations", [])], POSTING_SCHEMA)
         held = self._rows_held(0, "op")
         return stored if held is None else stored.unionByName(postings(held.where("not is_delete")))
 
     def search(self, text: str, limit: int, offset: int = 0, options: SearchOptions = SearchOptions(), now_micros: int | None = None) -> DataFrame:
-        now = int(time.time() * 1e6) if now_micros is None else now_micros
-        return S.search(self.live, self.postings(), text, limit, offset, options, now)
+        now, meta = int(time.time() * 1e6) if now_micros is None else now_micros, self._meta()
+        return S.search(lambda paths: self.live(paths, meta), self.postings(meta), text, limit, offset, options, now)
 
     def recent_files(self, since_seconds: int, limit: int, offset: int = 0, options: SearchOptions = SearchOptions()) -> DataFrame:
         """A live entry that passes is the op that passes, so versions are resolved only for paths with such an op."""
-        may = S.recent_paths(self.ops().where("not is_delete"), since_seconds, options)
-        return S.recent_files(self.live(may), since_seconds, limit, offset, options)
+        meta = self._meta()
+        may = S.recent_paths(self.ops(meta).where("not is_delete"), since_seconds, options)
+        return S.recent_files(self.live(may, meta), since_seconds, limit, offset, options)
 
     def search_or_recent(self, text: str, limit: int, offset: int = 0, options: SearchOptions = SearchOptions(), now_micros: int | None = None) -> DataFrame:
         """What an interactive client shows: results for the words typed, or without any the files of the last five days."""
@@ -304,7 +323,7 @@ class Catalog:
         if not which:
             return False
         if len(which) == len(generations):
-            self.force_compact_all()
+            self._merge_all()
             return True
         merged = [generations[i] for i in which]
         # delete markers stay: generations that aren't merged may hold older versions
@@ -321,13 +340,13 @@ class Catalog:
         """One generation of the live entries, and, while older ops may still arrive, one of what they would have to meet:
         delete markers and the newest ops of other volumes. Prefix deletes are applied and reduced."""
         self.sync()
-        meta = self._meta()
-        upto = meta.get("next_seq", 1)
-        floor = upto if not meta.get("own") else upto - self.config.lateness if self.config.lateness is not None else 0
-        self._merge_all(max(floor, meta.get("floor", 0)))
+        self._merge_all()
 
-    def _merge_all(self, floor: int) -> None:
+    def _merge_all(self, floor: int | None = None) -> None:
         meta = self._meta()
+        if floor is None:
+            upto, late = meta.get("next_seq", 1), self.config.lateness
+            floor = max(upto if not meta.get("own") else upto - late if late is not None else 0, meta.get("floor", 0))
         generations, tombs = meta.get("generations", []), meta.get("tombs", [])
         if not generations:
             return

@@ -184,6 +184,17 @@ def test_search_resolves_the_paths_it_found_only(spark, catalog):
     assert paths(catalog.search("f1", 5, 0, SearchOptions(volume_name="vol1"), NOW)) == []
 
 
+def test_merges_beside_the_writer(spark):
+    with Catalog(spark, run_dir(spark, "catalog"), CompactorConfig(min_merge_count=2, background=True)) as c:
+        for k in range(3):
+            c.insert(entry(f"/a/{k}.txt"))
+            c.delete("/a/0.txt")
+            c.flush()
+        c._job.result()
+        assert sorted(paths(c.live())) == ["/a/1.txt", "/a/2.txt"]
+    assert sorted(paths(Catalog(spark, c.table.root).live())) == ["/a/1.txt", "/a/2.txt"]
+
+
 def test_held_back_rows_are_bounded(spark):
     c = Catalog(spark, run_dir(spark, "catalog"), CompactorConfig(flush_threshold=5))
     for i in range(7):
