@@ -49,7 +49,7 @@ _CUT = re.compile(r" (?=\S)")
 def tokenizer_path(name: str = VOCABULARY) -> str:
     """Where the vocabulary file is: in the folder that the environment's ``CATALENS_TOKENIZERS`` names, else in
     /opt/tokenizers. Any byte-pair vocabulary in the format of tiktoken will do: a token in base 64 and its rank in each line;
-    the default is the one of 50,257 tokens that was published with GPT-2."""
+    the default is a public byte-level one of 50,256 tokens."""
     return str(Path(os.environ.get("CATALENS_TOKENIZERS", "/opt/tokenizers")) / name)
 
 
