@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from catalens.functions.tokens import VOLUME_TAG, all_terms
 from catalens.model import SearchOptions
 from catalens.plans.query import Query, is_exact, is_short
+from catalens.session import small
 from catalens.sources.versioned import CODEC
 
 
@@ -33,10 +34,13 @@ def posting_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("term").agg(F.count("*").alias("entries"))
 
 
-def grouped(rows: DataFrame) -> DataFrame:
-    """``(term, paths)`` with sorted distinct paths: the form for export. A term's paths are one value, so terms in a large
-    part of all entries belong in the exploded form that all operators here use."""
-    return rows.groupBy("term").agg(F.sort_array(F.collect_set("path")).alias("paths"))
+def grouped(rows: DataFrame, most: int = 100_000) -> DataFrame:
+    """``(term, block, paths)`` with sorted distinct paths: the form for export. A term of more than ``most`` entries is cut into
+    blocks of about that many by the hash of the path, so that no task holds more of one term; others have block 0."""
+    heavy = posting_counts(rows).where(F.col("entries") > most).select("term", F.ceil(F.col("entries") / most).alias("blocks"))
+    heavy = F.broadcast(heavy) if small(heavy) else heavy
+    cut = rows.join(heavy, "term", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("path"), F.col("blocks")), F.lit(0)))
+    return cut.groupBy("term", "block").agg(F.sort_array(F.collect_set("path")).alias("paths"))
 
 
 def term_test(token: str, limit: Column | None = None) -> Column:

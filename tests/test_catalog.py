@@ -252,6 +252,9 @@ def test_postings_edges(spark):
     assert got.where("path = ''").count() == 1
     grouped = {r.term: r.paths for r in P.grouped(got.where("path <> ''")).collect()}
     assert grouped["a"] == sorted(p for p, _ in data if p)
+    cut = P.grouped(spark.range(500).selectExpr("if(id < 400, 'hot', 'cold') as term", "concat('/p/', id % 450) as path"), 50).collect()
+    assert max(len(r.paths) for r in cut if r.term == "hot") < 90 and sorted(p for r in cut if r.term == "hot" for p in r.paths) == sorted(f"/p/{i}" for i in range(400))
+    assert len({r.block for r in cut if r.term == "hot"}) == 8
     assert P.postings(df.where("false")).count() == 0
 
 
