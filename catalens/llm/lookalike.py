@@ -41,6 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from catalens.functions.tokens import is_ascii
 from catalens.session import BROADCAST_ROWS, small, written
 
 # Letters with the shape of a Latin letter, by script, each followed by that letter (after the table of
@@ -59,7 +60,6 @@ _TOKEN = re.compile(r"([^\W_](?:[^\W_]|[\u0300-\u036f\u3099\u309a])*)")
 # Characters without appearance that are no format characters.
 _FILLERS = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180f\u3164\uffa0"
 _BLANKS = {c: " " for c in (*range(9, 14), 0x85, 0x2028, 0x2029, 0x1680)}
-_ASCII = "^[\\x00-\\x7f]*$"
 
 
 _PLANES = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x10000), *range(0x11000, 0x14000), *range(0x1B000, 0x1E000), *range(0xE0000, 0xE01F0))]
@@ -233,9 +233,10 @@ class Classes(NamedTuple):
 def classes(entries: DataFrame, sent: int | None = None) -> Classes:
     """The classes of rows that look the same. ``sent``: how many repairs may be sent to all tasks."""
     rows = entries.where("entry_id is not null").select(F.col("entry_id").cast("long"), "volume", "path")
-    is_ascii = F.coalesce(F.col("volume").rlike(_ASCII), F.lit(True)) & F.coalesce(F.col("path").rlike(_ASCII), F.lit(True))
-    plain = rows.where(is_ascii)
-    folded = written(rows.where(~is_ascii).mapInPandas(_fold_rows, _FOLDED), "folded")
+    ascii_only = lambda c: F.coalesce(is_ascii(F.col(c)), F.lit(True))
+    rows = rows.withColumn("ascii", ascii_only("volume") & ascii_only("path"))
+    plain = rows.where("ascii").drop("ascii")
+    folded = written(rows.where("not ascii").drop("ascii").mapInPandas(_fold_rows, _FOLDED), "folded")
     split = F.filter(F.split(F.concat_ws("/", "volume", "path"), "[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])"), lambda t: t != "")
     mapping = written(repairs(folded, plain.select(F.explode(F.array_distinct(split)).alias("token"))), "repairs")
     repaired = (_by_rows if small(mapping, BROADCAST_ROWS if sent is None else sent) else _by_join)(folded, mapping)
