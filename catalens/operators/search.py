@@ -44,8 +44,8 @@ def bounded(paths: DataFrame) -> DataFrame:
 def candidates(entries: Entries, postings: DataFrame, text: str, limit: int, offset: int, options: SearchOptions) -> DataFrame:
     """The rows that match and pass the filters, at most the scoring cap."""
     query, cap = parse(text), scoring_cap(limit, offset, options)
-    paths = bounded(match_all(postings, query, options, cap))
-    rows = entries(paths) if callable(entries) else entries.join(paths, "path", "left_semi")
+    paths = match_all(postings, query, options, cap)
+    rows = entries(bounded(paths)) if callable(entries) else entries.join(paths, "path", "left_semi")
     return prerank(rows.where(of_options(options)), cap)
 
 

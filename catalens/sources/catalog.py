@@ -40,6 +40,8 @@ from catalens.sources.versioned import VersionConflict, VersionedTable
 _COLUMNS = [f.name for f in OPLOG_SCHEMA.fields]
 _ROW_BITS = 33
 TRIES = 20
+#: Entries whose terms one task makes.
+TASK_ROWS = 500_000
 
 
 class Catalog:
@@ -198,11 +200,13 @@ class Catalog:
         rows, terms = self.table.new_folder(), self.table.new_folder()
         self.table.write(ops.select(_COLUMNS), rows)
         held = self.table.read([rows], OPLOG_SCHEMA)
-        made = postings(held.where("not is_delete").select("path", "volume").distinct())
+        n, top = held.agg(F.count("*"), F.max("seq")).first()
+        # making terms is the dearest step, so it is spread over all cores; the number is given, else small shuffles are merged
+        tasks = max(self.spark.sparkContext.defaultParallelism, -(-n // TASK_ROWS)) if n >= 1000 else 1
+        made = postings(held.where("not is_delete").select("path", "volume").repartition(tasks, "path", "volume").distinct())
         # range partitioning reads its input twice, so terms are written before; a generation of the log is sorted in its
         # tasks only
         write_postings(written(made, "terms") if state == "live" else made, f"{self.table.root}/{terms}", ranged=state == "live")
-        n, top = held.agg(F.count("*"), F.max("seq")).first()
         return {"ops": rows, "terms": terms, "rows": n, "state": state, "base": 0, "top": (top or 0) if own else -1}
 
     def _write_tombs(self, rows: DataFrame, own: bool = False) -> dict:
