@@ -19,7 +19,7 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,19 +72,18 @@ def taken_in(ops: DataFrame, runs: DataFrame, bound: int = BROADCAST_ROWS) -> Da
     for basis, part in held.groupby("basis"):
         steps[basis] = cover(*(part[c].to_numpy(np.int64) for c in ("lo", "hi", "started")))
 
-    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hit = np.zeros(len(b), bool)
+            arrived, hit = b.column("arrived").to_numpy(zero_copy_only=False), np.zeros(b.num_rows, bool)
             for basis, column in (("seq", "seq"), ("mtime", "last_modified")):
                 if basis in steps:
                     ends, value = steps[basis]
-                    known = b[column].notna().to_numpy()
-                    x = b[column].fillna(0).to_numpy(np.int64)
-                    at = np.searchsorted(ends, x, side="left")
-                    hit |= known & (at < len(ends)) & (np.append(value, _NEVER)[at] >= b["arrived"].to_numpy(np.int64))
-            yield b.loc[hit, ["seq", "last_modified"]]
+                    known = b.column(column).is_valid().to_numpy(zero_copy_only=False)
+                    at = np.searchsorted(ends, b.column(column).fill_null(0).to_numpy(zero_copy_only=False), side="left")
+                    hit |= known & (at < len(ends)) & (np.append(value, _NEVER)[at] >= arrived)
+            yield b.filter(pa.array(hit)).select(["seq", "last_modified"])
 
-    return rows.mapInPandas(look, "seq long, last_modified long")
+    return rows.mapInArrow(look, "seq long, last_modified long")
 
 
 def _taken_in_joined(rows: DataFrame, good: DataFrame) -> DataFrame:

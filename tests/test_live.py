@@ -260,6 +260,17 @@ def test_taken_in_both_ways(spark):
     assert taken_in(o, g.where("false")).count() == 0 and taken_in(o.where("false"), g).count() == 0
 
 
+def test_large_times_stay_exact(spark):
+    """Beside nulls, too."""
+    import datetime as dt
+
+    t, big = dt.datetime(2020, 1, 1), (1 << 60) + 1
+    o = spark.createDataFrame([(1, big, t), (2, None, t), (3, big + 2, t)], "seq long, last_modified long, arrived_at timestamp").coalesce(1)
+    g = spark.createDataFrame([(1, "committed", t, t, "seq", 0, 9)], RUNS)
+    for bound in (9, 0):
+        assert rows(taken_in(o, g, bound)) == [(1, big), (2, None), (3, big + 2)]
+
+
 def test_incremental_runs(spark):
     target = IncrementalTarget(spark, run_dir(spark, "target"))
     source = spark.createDataFrame([(1, 1), (2, 1), (2, 1), (None, 3), (4, None)], "k long, v long").selectExpr("*", "9 as source_key", "8 as t_key")
