@@ -5,6 +5,7 @@ from catalens.functions import tokens as K
 from catalens.plans.query import parse, scoring_cap
 from catalens.model import SearchOptions
 
+# Texts and the tokens that must come out.
 GOLDEN = {
     "hello world": "hello world",
     "MySuperFile": "file my mysuperfile super",
