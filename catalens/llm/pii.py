@@ -11,8 +11,9 @@ of leaving its tokens out, which is 0. The weights maximise the conditional like
 
 Scale: one pass over the texts, no shuffle of texts. Digits are made alike before decoding, and a chunk with its context is
 decoded once per task and remembered, so the work follows the number of different contexts. The given names that the
-corpus itself shows (:func:`given_names`) are counted over all documents; a name
-must be seen three times, however large the corpus. The list is sent to every task if it has at most ``BROADCAST_ROWS``
+corpus itself shows (:func:`given_names`) are counted over all documents, once; a name must be seen three times, however
+large the corpus. A span of a name holds any number of given names, initials, particles and family names that nine tokens
+have room for, in any script with capitals. The list is sent to every task if it has at most ``BROADCAST_ROWS``
 names; beyond that each text gets the names among its words by a shuffle of words, not of texts' chunks.
 
 Null or empty texts give no entities; null ids are left out of :func:`found`. Very long texts are taken whole; chunks of any
