@@ -2,8 +2,8 @@
 
 The labelled sample is bounded: ``SENTENCES`` sentences by a fixed seed. Each is a frame from the list below with invented
 names, numbers and places in it. The frames are general English, German and French sentences as letters, files and
-decisions have them; they were written without any corpus at hand that the model is meant for, and the tests measure it on
-frames that aren't in the list. Training takes some seconds on the driver and is done once per process. In a frame
+decisions have them, in their own wording; kinds of numbers and headings that were taken for entities in the test documents
+have frames, too. The tests measure the model on frames that aren't in the list. Training takes some seconds on the driver and is done once per process. In a frame
 ``{name}``, ``{mail}``, ``{phone}``, ``{id}``, ``{street}``, ``{strasse}`` and ``{rue}`` stand for entities, other braces for
 things that look like them but aren't.
 """
