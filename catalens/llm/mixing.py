@@ -31,7 +31,7 @@ from pathlib import Path
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -90,10 +90,17 @@ def with_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     return spread(rows).mapInPandas(_counter(path or tokenizer_path()), "doc_id long, source string, tokens long").where("tokens > 0")
 
 
+def _summed(by: Column | str, order: str) -> Column:
+    """Sum of the shares of ``by``, added up in one order: a sum of fractions in the order of arrival can differ in its last
+    digit from run to run, which the floor of a fitted total turns into another total."""
+    return F.sum("share").over(W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+
+
 def clean_targets(targets: DataFrame) -> DataFrame:
-    """One row per source: ``source, share, copies``, shares scaled to sum 1."""
-    rows = targets.where("source is not null").groupBy("source").agg(F.sum(F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0))).alias("share"), F.greatest(F.max(F.coalesce("max_copies", F.lit(1))), F.lit(0)).alias("copies"))
-    return rows.withColumn("share", F.col("share") / F.sum("share").over(W.partitionBy(F.lit(1))))
+    """One row per source: ``source, share, copies``, shares scaled to sum 1, the same however the rows come."""
+    rows = targets.where("source is not null").select("source", F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0)).alias("share"), F.coalesce("max_copies", F.lit(1)).alias("copies"))
+    rows = rows.withColumn("share", _summed("source", "share")).groupBy("source").agg(F.max("share").alias("share"), F.greatest(F.max("copies"), F.lit(0)).alias("copies"))
+    return rows.withColumn("share", F.col("share") / _summed(F.lit(1), "share"))
 
 
 def with_sizes(docs: DataFrame, size: str) -> DataFrame:
@@ -128,7 +135,7 @@ def schedule(targets: DataFrame, slots: int) -> DataFrame:
     """``(slot, source, rank)``: which source each slot belongs to and its how-manieth slot that is."""
     spark = targets.sparkSession
     upto = F.sum("share").over(W.partitionBy(F.lit(1)).orderBy("source"))
-    top = F.sum("share").over(W.partitionBy(F.lit(1)))
+    top = _summed(F.lit(1), "source")
     # the last stretch ends at 1, whatever the sum of the rounded shares is
     ranges = targets.select("source", "share", upto.alias("z"), top.alias("t")).select("source", (F.col("z") - F.col("share")).alias("a"), F.when(F.col("z") >= F.col("t"), 1.0).otherwise(F.col("z")).alias("z"), "share").where("share > 0")
     ranges = ranges.withColumn("a", F.coalesce(F.lag("z").over(W.partitionBy(F.lit(1)).orderBy("z", "source")), F.lit(0.0)))

@@ -51,6 +51,17 @@ def test_fit_keeps_the_shares(spark):
     assert all(abs(fitted[s].reached_share - share) < 0.02 for s, share, _ in TARGETS)
 
 
+def test_the_same_in_any_order(spark):
+    """Neither shares nor the fitted total depend on the order in which the targets' rows come."""
+    shares = {"registry_feed": 0.3, "law_reports": 0.22, "scan_archive": 0.1, "tribunal_site": 0.15, "gazette": 0.12, "bar_digest": 0.08, "clerk_memos": 0.03}
+    docs = spark.createDataFrame([(k, s, 19422 if s == "bar_digest" else 900_000) for k, s in enumerate(shares)], "doc_id long, source string, n_chars long")
+    whole, parts = [(s, x, 5) for s, x in shares.items()], [(s, x * k, 5) for k in (0.1, 0.2, 0.3, 0.4) for s, x in shares.items()]
+    turned = lambda targets, k: spark.createDataFrame(targets[k:] + targets[:k], "source string, target_share double, max_copies int").coalesce(1)
+    assert M.planned(docs, turned(whole, 3), size="n_chars", fit=True).total == 1_213_875  # 19422 * 5 / 0.08
+    for targets in (whole, parts):
+        assert len({tuple(rows(M.clean_targets(turned(targets, k)))) for k in (0, 3, 6, 9)}) == 1
+
+
 def test_many_sources(spark):
     t = spark.range(9000).selectExpr("concat('s', id) as source", "1 / 9000D as target_share", "1 as max_copies")
     slots = M.schedule(M.clean_targets(t), 40_000)
